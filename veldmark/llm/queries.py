@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_chat", "op2_packing", "op6_tokens"]
+MODULES = ["op1_chat", "op2_packing", "op6_tokens", "op8_decontaminate"]
 
 
 def queries() -> dict:
