@@ -20,8 +20,6 @@ shingle is one shingle; repeated rows are linked like any copies. A null doc_id
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +27,16 @@ from pyspark.sql import functions as F
 
 from veldmark.llm import common
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-BAND = 1.4
+BAND = 1.3
 SKETCH = 8  # words of 64 bits
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.translate(LOWER))
+def words(text: str) -> list[bytes]:
+    """Words between the white space of ASCII, with A-Z in lower case; bytes know no other case and no other space."""
+    return text.encode().lower().split()
 
 
-def shingles(text: str, k: int) -> set[tuple[str, ...]]:
+def shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
     w = words(text)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
@@ -55,7 +52,7 @@ def band_starts(percent: int, longest: int = 1 << 40) -> list[int]:
 def allocate(starts: list[int], percent: int, n_sets: int) -> list[tuple[int, int]]:
     """For each band (segments of allocation 1, segments of allocation 2).
 
-    A chance meeting is taken to have probability exp(-segment length) for each pair of sets.
+    A chance meeting is taken to have probability exp(-segment length) for one pair of sets in 10,000.
     """
     out = []
     for low, end in zip(starts, starts[1:]):
@@ -66,7 +63,7 @@ def allocate(starts: list[int], percent: int, n_sets: int) -> list[tuple[int, in
         for two in range(need // 2 + 1):
             one = need - 2 * two
             length = low / (one + two)
-            cost = one + two * (length + 1) + n_sets * (one * np.exp(-length) + two * (1 + length) * np.exp(-length)) * 0.01
+            cost = one + two * (length + 1) + n_sets * (one * np.exp(-length) + two * (1 + length) * np.exp(-length)) * 1e-4
             if best is None or cost < best[0]:
                 best = (cost, one, two)
             if two > 64:
@@ -87,37 +84,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Signer:
     """Distinct shingle hashes, set hash, parity sketch and index entries of a batch of texts."""
 
-    def __init__(self, k: int, percent: int, n_sets: int, limit: int = 1_000_000):
+    def __init__(self, k: int, percent: int, n_sets: int, limit: int = 500_000):
         self.k, self.percent, self.limit, self.cache = k, percent, limit, {}
         self.starts = np.array(band_starts(percent))
         plan = allocate(self.starts.tolist(), percent, n_sets)
         self.one, self.two = (np.array([p[i] for p in plan]) for i in (0, 1))
 
     def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, shingle hash), sorted and distinct."""
+        """(text number, shingle hash of 54 bits), sorted and distinct, of at most 1,000 texts."""
         import xxhash
 
         if len(self.cache) > self.limit:
             self.cache.clear()
         cache, k = self.cache, self.k
         found = [words(t) for t in texts]
-        for w in set().union(*found) - cache.keys():
+        for w in set().union(*([w for w in f if w not in cache] for f in found)):
             cache[w] = xxhash.xxh64_intdigest(w)
         n = np.array([len(f) for f in found])
-        h = np.array([cache[w] for f in found for w in f], dtype=np.uint64)
+        h = np.fromiter((x for f in found for x in map(cache.__getitem__, f)), np.uint64, n.sum())
         owner, left = np.repeat(np.arange(len(texts)), n), np.repeat(np.cumsum(n), n) - np.arange(len(h))
         size = np.minimum(n, k)[owner]
         at = np.flatnonzero(left >= size)  # a text of fewer words than k has one
-        code = np.zeros(len(at), np.uint64)
+        code, short = np.zeros(len(at), np.uint64), (n < k).any()
         for i in range(k):
-            inside = i < size[at]
-            code = mix(code + _M1) + np.where(inside, h[np.minimum(at + i, max(0, len(h) - 1))], np.uint64(0))
-        code, owner = mix(code), owner[at]
-        order = np.lexsort((code, owner))
-        code, owner = code[order], owner[order]
-        first = np.ones(len(code), bool)
-        first[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
-        return owner[first], code[first]
+            x = h[np.minimum(at + i, max(0, len(h) - 1))]
+            code = mix(code + _M1) + (np.where(i < size[at], x, np.uint64(0)) if short else x)
+        key = (owner[at].astype(np.uint64) << np.uint64(54)) | (mix(code) >> np.uint64(10))
+        key.sort()
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        key = key[first]
+        return (key >> np.uint64(54)).astype(np.int64), key & np.uint64((1 << 54) - 1)
 
     def entries(self, owner: np.ndarray, code: np.ndarray, size: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text number, entry) under each text's scheme (-1: none)."""
@@ -126,7 +123,7 @@ class Signer:
         s = scheme.clip(min=0)
         segments = np.where(scheme >= 0, self.one[s] + self.two[s], 0)
         base = np.concatenate([[0], np.cumsum(segments)])
-        seg = ((code >> np.uint64(32)) % segments[owner].astype(np.uint64)).astype(np.int64)
+        seg = ((code >> np.uint64(20)) % segments[owner].astype(np.uint64)).astype(np.int64)
         slot, x = base[owner] + seg, mix(code ^ _M2)
         total = np.zeros(base[-1], np.uint64)
         np.add.at(total, slot, x)
@@ -142,17 +139,20 @@ class Signer:
         owner, code = self.sets(texts)
         n = len(texts)
         size = np.bincount(owner, minlength=n)
-        s1, s2, sketch = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n * SKETCH, np.uint64)
-        np.add.at(s1, owner, mix(code ^ _M1))
-        np.add.at(s2, owner, mix(code ^ _M3))
-        bit = code % np.uint64(64 * SKETCH)
-        np.bitwise_xor.at(sketch, owner * SKETCH + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        some = np.flatnonzero(size)
+        starts = np.searchsorted(owner, some)
+        s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        if len(some):
+            s1[some], s2[some] = np.add.reduceat(mix(code ^ _M1), starts), np.add.reduceat(mix(code ^ _M3), starts)
+        bits = 64 * SKETCH
+        odd = np.bincount(owner * bits + (code % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+        sketch = np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
         band = np.searchsorted(self.starts, size, side="right") - 1
         low = band - 1
         reach = (self.starts[band] - 1) * 100 // self.percent  # of the largest set of the band below
         low = np.where((band >= 1) & (size <= reach), low, -1)
         a, b = self.entries(owner, code, size, band), self.entries(owner, code, size, low)
-        return {"size": size, "s1": s1, "s2": s2, "sketch": sketch.reshape(n, SKETCH), "own": split(*a, n), "below": split(*b, n)}
+        return {"size": size, "s1": s1, "s2": s2, "sketch": sketch, "own": split(*a, n), "below": split(*b, n)}
 
 
 def split(owner: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
@@ -160,7 +160,7 @@ def split(owner: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(values[order].view(np.int64), np.cumsum(np.bincount(owner, minlength=n))[:-1])
 
 
-SIGNED = "row long, doc_id long, text string, n_shingles long, s1 long, s2 long, sketch array<long>, own array<long>, below array<long>"
+SIGNED = "row long, doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, own array<long>, below array<long>"
 
 
 def signed(docs: DataFrame, k: int, percent: int, n_sets: int) -> DataFrame:
@@ -169,8 +169,8 @@ def signed(docs: DataFrame, k: int, percent: int, n_sets: int) -> DataFrame:
         for pdf in common.batches(frames, 1000, 2_000_000):
             x = signer.sign(pdf["text"].fillna("").tolist())
             yield pd.DataFrame({
-                "row": pdf["row"].to_numpy(), "doc_id": pdf["doc_id"].astype("Int64").array, "text": pdf["text"].array, "n_shingles": x["size"],
-                "s1": x["s1"].view(np.int64), "s2": x["s2"].view(np.int64), "sketch": list(x["sketch"].view(np.int64)), "own": x["own"], "below": x["below"],
+                "row": pdf["row"].to_numpy(), "doc_id": pdf["doc_id"].astype("Int64").array, "n_shingles": x["size"],
+                "s1": x["s1"].view(np.int64), "s2": x["s2"].view(np.int64), "sketch": list(x["sketch"]), "own": x["own"], "below": x["below"],
             })
 
     return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SIGNED)
@@ -205,7 +205,10 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
-    """(row, doc_id, n_shingles, component_row, component_id) of ``docs`` (row, doc_id, text)."""
+    """(row, doc_id, n_shingles, component_row, component_id) of ``docs`` (row, doc_id, text).
+
+    ``docs`` is read more than once; ``row`` must name the same row each time, as the numbers of a scan do.
+    """
     scratch = common.Scratch(docs.sparkSession, "jaccard")
     made = scratch.save(signed(docs, k, percent, docs.count()), "signed")
     full = made.where("n_shingles > 0")
@@ -214,16 +217,18 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
         full.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.col("n_shingles").alias("n"), "sketch", "own", "below"), "nodes"
     )
     info = nodes.select(F.col("row").alias("r"), F.struct("n", "sketch").alias("s"))
-    flat = nodes.select("row", F.explode("own").alias("entry"), F.lit(True).alias("own")).unionAll(nodes.select("row", F.explode("below").alias("entry"), F.lit(False).alias("own")))
-    shared = flat.groupBy("entry").agg(F.min(F.when(F.col("own"), F.col("row"))).alias("rep"), F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high and rep is not null")
-    members = scratch.save(flat.join(shared.select("entry", "rep"), "entry").select("entry", "row", "own", "rep"), "members")
+    code = lambda own: (F.col("row") * 2 + own).alias("code")
+    flat = nodes.select(F.explode("own").alias("entry"), code(1)).unionAll(nodes.select(F.explode("below").alias("entry"), code(0)))
+    shared = flat.groupBy("entry").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high")
+    members = flat.join(shared.select("entry", F.expr("low div 2").alias("rep")), "entry")
+    members = scratch.save(members.select("entry", F.expr("code div 2").alias("row"), F.expr("code % 2 = 1").alias("own"), "rep"), "members")
 
     def linked(pairs: DataFrame, sized: bool = False) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if not sized:
             both = pairs.join(info.select(F.col("r").alias("a"), F.col("s").alias("x")), "a").join(info.select(F.col("r").alias("b"), F.col("s").alias("y")), "b")
             pairs = both.where(plausible(percent, "x", "y")).select("a", "b")
-        return scratch.save(verify(pairs, made.select("row", "text"), k, percent), "links")
+        return scratch.save(verify(pairs, docs.select("row", F.coalesce("text", F.lit("")).alias("text")), k, percent), "links")
 
     links = linked(members.where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b")))
     for turn in range(1, rounds + 1):
@@ -237,7 +242,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
             break
         if turn < rounds:
             by = F.min_by(F.struct("row", "c"), F.xxhash64("row", F.lit(turn)))
-            reps = open_.where("own").groupBy("entry").agg(by.alias("rep"))
+            reps = open_.groupBy("entry").agg(by.alias("rep"))
             pairs = open_.join(reps, "entry").where("c <> rep.c").select(F.col("row").alias("a"), F.col("rep.row").alias("b"))
             links = links.unionAll(linked(pairs))
         else:
