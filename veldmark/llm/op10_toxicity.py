@@ -159,10 +159,9 @@ class Model:
 def fit(texts: list[str], labels: np.ndarray, n_landmarks: int = 192, seed: int = 7) -> Model | None:
     """Fit on labelled texts (1 is toxic)."""
     rng, order = np.random.default_rng(seed), np.argsort(-labels, kind="stable")
-    bad, good, seen, sets = Counter(), Counter(), set(), {}
+    bad, good, seen = Counter(), Counter(), set()
     for i in order:
         words = {p for t in tokens(texts[i]) for p in parts(t)}
-        sets[i] = words
         if labels[i]:
             low = [min((hash_of(w, k) for w in words), default=k) for k in range(20)]
             marks = {tuple(low[k::4]) + (k,) for k in range(4)}
