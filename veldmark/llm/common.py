@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def default_path(name: str) -> str:
     """A vocabulary file of the public tokenizers on this machine; every operator takes the path as a parameter."""
     import public_tokenizers
