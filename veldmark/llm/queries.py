@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_chat", "op2_packing", "op4_suffix", "op5_itq", "op6_tokens", "op8_decontaminate", "op9_jaccard", "op10_toxicity"]
+MODULES = ["op1_chat", "op2_packing", "op3_secrets", "op4_suffix", "op5_itq", "op6_tokens", "op7_quality", "op8_decontaminate", "op9_jaccard", "op10_toxicity"]
 
 
 def queries() -> dict:
