@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -77,16 +78,20 @@ def paths(messages: DataFrame, branches: int, scratch: common.Scratch) -> DataFr
     first = rows.join(ids, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("i")), "left").select(
         "tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"), F.col("score").cast("double").alias("total")
     )
-    jumps = [scratch.save(first, "up")]
+    jumps, done = [scratch.save(first, "up")], []
     limit = max(1, messages.count()).bit_length()
     while len(jumps) <= limit and jumps[-1].where("up is not null").limit(1).count():
-        s, o = jumps[-1], jumps[-1].select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("total2"))
-        nxt = s.join(o, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left").select(
-            "tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
+        # only messages that are still under way are joined; those at their root wait as targets
+        s, done = jumps[-1].where("up is not null"), [*done, jumps[-1].where("up is null")]
+        o = reduce(DataFrame.unionAll, [s, *done])
+        o = o.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("total2"))
+        nxt = s.join(o, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i"))).select(
+            "tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")
         )
         jumps.append(scratch.save(nxt, "up"))
+    ended = reduce(DataFrame.unionAll, [j.where("up is null") for j in jumps])
     replied = jumps[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("i")).distinct()
-    leaves = jumps[-1].where("up is null").join(replied, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")), "left_anti")
+    leaves = ended.join(replied, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")), "left_anti")
     order = "order by total desc, depth desc, id"
     near = leaves.withColumn("salt", F.expr("pmod(xxhash64(id), 64)")).withColumn("branch", F.expr(f"row_number() over (partition by tree, salt {order})")).where(F.col("branch") <= branches)
     chosen = near.withColumn("branch", F.expr(f"row_number() over (partition by tree {order})")).where(F.col("branch") <= branches)
