@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def cut(frames):
         words, seen = tokens.cache(path, True), Counter()
         end = np.array([end_id], dtype="<u4").tobytes()
-        for pdf in common.batches(frames):
+        for pdf in common.batches(frames, 5000, 8_000_000):
             out = []
             for row, doc, data in zip(pdf["row"], pdf["doc_id"], words.encode(pdf["text"].fillna("").tolist())):
                 data += end
@@ -128,35 +128,18 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
     made = scratch.save(pieces(docs, path or common.default_path("byte_bpe_50k.json"), capacity, end_id).withColumn("part", F.spark_partition_id()), "pieces")
     counts = scratch.save(made.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    steps = spark.sparkContext.broadcast(
-        {n: tuple(np.array(c) for c in zip(*rows)) for n, rows in _by_length(plan(histogram, capacity)).items()}
-    )
+    steps = spark.createDataFrame(plan(histogram, capacity) or [(0,) * 6], "length long, first long, n long, per long, bin long, at long")
     before = counts.select("part", "length", F.expr("sum(n) over (partition by length order by part) - n").alias("before"))
     before = before.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("before"))
     if counts.count() <= BROADCAST_ROWS:
         before = F.broadcast(before)
     joined = made.join(before, "part").withColumn("rank", F.expr("k + before[length]")).drop("before", "k", "part")
 
-    def put(frames):
-        for pdf in frames:
-            seq, off = np.zeros(len(pdf), "int64"), np.zeros(len(pdf), "int64")
-            lengths, ranks = pdf["length"].to_numpy(), pdf["rank"].to_numpy()
-            for n in np.unique(lengths):
-                at = np.flatnonzero(lengths == n)
-                _, first, _, per, bins, offset = steps.value[n]
-                i = np.searchsorted(first, ranks[at], side="right") - 1
-                k = ranks[at] - first[i]
-                seq[at], off[at] = bins[i] + k // per[i], offset[i] + k % per[i] * n
-            yield pdf.drop(columns="rank").assign(sequence_id=seq, offset=off)
-
-    return joined.mapInPandas(put, PIECES + ", sequence_id long, offset long")
-
-
-def _by_length(rows):
-    out = defaultdict(list)
-    for row in sorted(rows):
-        out[row[0]].append(row)
-    return out
+    place = joined.join(F.broadcast(steps), "length").where("rank >= first and rank < first + n")  # rows of the plan: bound by the capacity
+    return place.select(
+        "row", "doc_id", "piece", "start", "length", "ids",
+        F.expr("bin + (rank - first) div per").alias("sequence_id"), F.expr("at + (rank - first) % per * length").alias("offset"),
+    )
 
 
 def digest(packed: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         words, end = tokens.cache(vocabulary, False), np.array([end_id], dtype="<u4").tobytes()
         shard, out, n_tokens = TaskContext.get().partitionId(), None, 0
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.tok.zst"
-        for pdf in common.batches(frames):
+        for pdf in common.batches(frames, 5000, 8_000_000):
             out = out or ShardWriter(name, frame_bytes)
             ids = pdf["doc_id"].astype("Int64")
             for doc, data in zip(ids, words.encode(pdf["text"].fillna("").tolist())):

@@ -14,14 +14,17 @@ import re
 import numpy as np
 
 _INNER = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"\s$|\s \s*$")
 _SPACE = re.compile(r"\s")
-_ODD = re.compile(r"\s | \s")
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+#: A word with marks after it and perhaps the next line's first word; both vocabularies cut it into these groups.
+_SHAPE = re.compile(f"({_LETTERS})([.,]+)?(?:(\n)({_LETTERS}))?")
 
 
 class WordCache:
     """bytes of little-endian uint32 ids for texts. At most ``limit`` words are kept, then it starts anew."""
 
-    def __init__(self, path: str, leading_space: bool, limit: int = 700_000):
+    def __init__(self, path: str, leading_space: bool, limit: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,40 +33,88 @@ class WordCache:
         self.mark = "\n" if leading_space else " 7 "
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = self.first if not leading_space else {}
+        self.later: dict[str, bytes] = {} if leading_space else self.first
 
-    def _learn(self, words: set[str], known: dict[str, bytes], prefix: str) -> None:
-        """Encode new words in bulk: joined by a separator of one id that no other text yields."""
-        new, mark = words - known.keys(), self.mark.strip(" ")
-        plain = [w for w in new if w and mark not in w and not _SPACE.search(w)]
+    def _encode_new(self, new: list[str], known: dict[str, bytes], prefix: str) -> None:
+        """Encode words in bulk: joined by a separator of one id that no word yields."""
+        mark = self.mark.strip(" ")
+        plain = [w for w in new if w.isalpha() or w and mark not in w and not _SPACE.search(w)]
         groups = [plain[i : i + 50] for i in range(0, len(plain), 50)]
+        glue = self.mark + prefix
         for i in range(0, len(groups), 200):
-            texts = [self.mark.join([prefix + w for w in g]) for g in groups[i : i + 200]]
+            texts = [prefix + glue.join(g) for g in groups[i : i + 200]]
             for group, e in zip(groups[i : i + 200], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype="<u4")
                 cut = np.flatnonzero(ids == self.mark_id)
                 if len(cut) != len(group) - 1:
                     raise ValueError("the separator was not encoded as one id")
                 data, at = ids.tobytes(), (cut * 4).tolist()
-                known.update((w, data[x:y]) for w, x, y in zip(group, [0, *(k + 4 for k in at)], [*at, len(data)]))
-        odd = list(new.difference(plain))
+                for w, x, y in zip(group, [0, *(k + 4 for k in at)], [*at, len(data)]):
+                    known[w] = data[x:y]
+        odd = list(set(new).difference(plain))
         for i in range(0, len(odd), 2000):
-            part = odd[i : i + 2000]
-            found = self.tokenizer.encode_batch([prefix + w for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found))
+            found = self.tokenizer.encode_batch([prefix + w for w in odd[i : i + 2000]], add_special_tokens=False)
+            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(odd[i : i + 2000], found))
+
+    def _learn(self, new_first: set[str], new_later: set[str]) -> None:
+        """Words with marks are put together from their parts, so only the parts are encoded."""
+        first, later, cut, whole = self.first, self.later, [], []
+        for w in new_later:
+            m = None if w.isalpha() else _SHAPE.fullmatch(w)
+            if m and m.lastindex > 1:
+                head, *rest = [g for g in m.groups() if g and (self.leading or g != "\n")]
+                cut.append((w, head, rest))
+                new_first.update(rest)
+                if head not in later:
+                    whole.append(head)
+            else:
+                whole.append(w)
+        self._encode_new([w for w in new_first if w not in first], first, "")
+        self._encode_new(list(set(whole)) if self.leading else [w for w in set(whole) if w not in first], later, " " if self.leading else "")
+        for w, head, rest in cut:
+            later[w] = later[head] + b"".join([first[p] for p in rest])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The distinct words of all texts are looked up once; numpy puts the ids of the texts together."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
         if len(self.first) + len(self.later) > self.limit:
             self.first.clear()
             self.later.clear()
-        parts = [t.split(" ") if not _ODD.search(t) else _INNER.split(t) for t in texts]
-        if self.leading:
-            self._learn({p[0] for p in parts}, self.first, "")
-            self._learn(set().union(*(p[1:] for p in parts)), self.later, " ")
-        else:
-            self._learn(set().union(*parts), self.first, "")
-        first, later = self.first, self.later
-        return [first[p[0]] + b"".join([later[w] for w in p[1:]]) for p in parts]
+        first, later, lead = self.first, self.later, self.leading
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        odd: set[int] = set()
+        missed = [w for w in words if w not in later]
+        if lead and (loose := {w for w in missed if not w or w[0].isspace() or w[-1].isspace()}):
+            hit = np.array([w in loose for w in words])[code]
+            hit[starts[:-1]] = False  # a first word may be empty or begin with white space
+            odd = set((np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1).tolist())
+            odd.update(i for i, t in enumerate(texts) if t[:1].isspace() or _ODD.search(t[: len(t.split(" ", 1)[0]) + 1]))
+            missed = [w for w in missed if w not in loose]
+        heads = [t.split(" ", 1)[0] for t in texts] if lead else []
+        self._learn({w for w in heads if w not in first}, set(missed))
+        rest = {i: _INNER.split(texts[i]) for i in odd}
+        if rest:
+            self._learn({p[0] for p in rest.values()} - first.keys(), set().union(*(p[1:] for p in rest.values())) - later.keys())
+        known = [later.get(w, b"") for w in words] + [first[w] for w in heads]
+        if lead:
+            code[starts[:-1]] = len(words) + np.arange(len(texts))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, begin = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(size) - size
+        each = size[code]
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[code] - (ends - each), each)
+        data, cut = flat[at].tobytes(), (np.concatenate([[0], ends])[starts] * 4).tolist()
+        out = [data[x:y] for x, y in zip(cut, cut[1:])]
+        for i, p in rest.items():
+            out[i] = first[p[0]] + b"".join([later[w] for w in p[1:]])
+        return out
 
 
 _CACHES: dict[tuple[str, bool], WordCache] = {}
