@@ -2,16 +2,15 @@
 
 A byte goes if a string of ``length`` bytes around it also starts earlier (a smaller doc_id, or earlier in the same document).
 
-1. Equal texts: all but the first row are copies. A copy is removed whole if it is long enough, and takes no further part.
-2. Any window of ``length`` bytes holds the leftmost smallest of its hashed k-grams, its anchor, and equal
+1. Any window of ``length`` bytes holds the leftmost smallest of its hashed k-grams, its anchor, and equal
    windows have equal anchors. One exchange by the anchors' hash brings equal anchors together; a task sends one row for each
-   distinct anchor and surroundings (the bytes of all windows that it can stand for) and marks its own later
+   distinct anchor and surroundings (the bytes of all windows that it stands for) and marks its own later
    ones, so a passage in a third of all documents sends one row a task. Equal surroundings are marked whole.
-3. Only anchors with several different surroundings, the edges of repeats, need bytes. Their first occurrences are
+2. Only anchors with several different surroundings, the edges of repeats, need bytes. Their first occurrences are
    dealt to shards by anchor; each shard gets a suffix array by induced sorting and its permuted common prefixes, and
    neighbouring suffixes that share ``length`` bytes are one class, of which the first start stays. An anchor with
    more than ``GROUP`` surroundings is cut into several shards whose classes are then compared by window hashes.
-4. Marks are merged for each document and its bytes are cut.
+3. Marks are merged for each document and its bytes are cut.
 
 Anchors and surroundings are compared by 64-bit hashes each. Null text counts as empty; texts shorter than ``length`` lose
 nothing; among rows of one doc_id the row read first is the earlier; a null doc_id comes before all others.
@@ -66,8 +65,8 @@ class Hashes:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int, k: int, block: int = 1 << 21) -> tuple[np.ndarray, Hashes]:
-    """Positions of the anchors of all windows that lie inside one document; documents begin at ``starts`` (and the end)."""
+def anchors(data: np.ndarray, starts: np.ndarray, length: int, k: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, Hashes]:
+    """The anchors of all windows that lie inside one document, and each one's first and last window; documents end at ``starts``."""
     found, size = [], length - k + 1
     h = Hashes(data)
     n = len(data) - length + 1
@@ -83,8 +82,10 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, k: int, block: in
         window = np.arange(a, b)
         doc = np.searchsorted(starts, window, side="right")
         inside = window + length <= starts[np.minimum(doc, len(starts) - 1)]
-        found.append(np.unique(low[inside] & np.uint64((1 << 22) - 1)).astype(np.int64) + a)
-    return (np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)), h
+        found.append(np.c_[(low[inside] & np.uint64((1 << 22) - 1)).astype(np.int64) + a, window[inside]])
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    new = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else np.zeros(0, np.int64)
+    return pairs[new, 0], pairs[new, 1], pairs[np.r_[new[1:], len(pairs)] - 1, 1], h
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -106,7 +107,7 @@ def _spans(doc, spans, lead=-1):
 
 
 def local_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """Anchors and marks of each task; see step 2. ``docs``: doc (order number), text."""
+    """Anchors and marks of each task; see step 1. ``docs``: doc (order number), text."""
 
     def run(frames):
         for pdf in common.batches(frames, 2000, 2_000_000):
@@ -116,12 +117,12 @@ def local_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
             texts, docs_ = [texts[i] for i in order], docs_[order]
             data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])
-            at, hashes = anchors(data, ends, length, k)
+            at, left, right, hashes = anchors(data, ends, length, k)
             if not len(at):
                 continue
             doc = np.searchsorted(ends, at, side="right")
             begin = np.r_[0, ends[:-1]][doc]
-            left, right = np.maximum(at - (length - k), begin), np.minimum(at + length, ends[doc])
+            right = right + length
             h = hashes.of(at, at + k)
             c = _mix(hashes.of(left, right) ^ ((at - left).astype(np.uint64) << np.uint64(20)) ^ (right - left).astype(np.uint64))
             rank = np.lexsort((at, c, h))
@@ -206,7 +207,7 @@ def compare(surroundings: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, length: int, k: int, scratch: common.Scratch) -> DataFrame:
-    """(doc, pos, size): spans of ``docs`` (doc, text; texts distinct) that repeat an earlier window."""
+    """(doc, pos, size): spans of ``docs`` (doc, text) that repeat an earlier window."""
     rows = local_rows(docs.where(F.octet_length("text") >= length), length, k)
     # one exchange by anchor; marks are dealt evenly by their document
     key = F.when(F.col("c").isNull(), F.xxhash64("doc", "pos")).otherwise(F.col("h"))
@@ -251,22 +252,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 50) -> DataFrame
         rows = base.withColumn("doc", F.col("doc_id"))
     else:  # an order number for each row, by one range shuffle
         rows = scratch.save(base.withColumn("r", F.monotonically_increasing_id()).repartitionByRange("doc_id", "r").sortWithinPartitions("doc_id", "r").withColumn("doc", F.monotonically_increasing_id()).drop("r"), "ordered")
-    named = rows.select("doc", F.sha2("text", 256).alias("sha"))
-    firsts = scratch.save(named.groupBy("sha").agg(F.min("doc").alias("doc")).select("doc"), "firsts")
-    own = rows.join(firsts, "doc", "left_semi").select("doc", "text")
-    marks = scratch.save(repeated(own, length, k, scratch).groupBy("doc").agg(F.collect_list(F.struct("pos", "size")).alias("marks")), "marks")
+    marks = scratch.save(repeated(rows.select("doc", "text"), length, k, scratch).groupBy("doc").agg(F.collect_list(F.struct("pos", "size")).alias("marks")), "marks")
     common.release(spark)
-    full = rows.join(firsts.withColumn("own", F.lit(True)), "doc", "left").join(marks, "doc", "left")
+    full = rows.join(marks, "doc", "left")
 
     def cut(frames):
         for pdf in frames:
             out = []
-            for doc, text, own, marks in zip(pdf["doc_id"], pdf["text"], pdf["own"], pdf["marks"]):
+            for doc, text, marks in zip(pdf["doc_id"], pdf["text"], pdf["marks"]):
                 data = text.encode()
-                if own is not True:
-                    spans = [(0, len(data))] if len(data) >= length else []
-                else:
-                    spans = [] if marks is None else merge(np.array([(m["pos"], m["pos"] + m["size"]) for m in marks], np.int64)).tolist()
+                spans = [] if marks is None else merge(np.array([(m["pos"], m["pos"] + m["size"]) for m in marks], np.int64)).tolist()
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(data[at:a])
@@ -275,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 50) -> DataFrame
                 out.append((doc, kept, len(data), len(data) - len(kept), len(spans), [{"start": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "spans"]).astype({"doc_id": "Int64"})
 
-    return full.select("doc_id", "text", "own", "marks").mapInPandas(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>")
+    return full.select("doc_id", "text", "marks").mapInPandas(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
