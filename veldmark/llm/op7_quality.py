@@ -22,6 +22,7 @@ from veldmark.llm import common
 
 ORDER = 5
 PAD = "\x02"
+TASK_BYTES = 64 << 20
 BROADCAST_LABELS = 2_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -59,7 +60,7 @@ def count(docs: DataFrame, order: int) -> DataFrame:
             for lang, known in found.items():
                 yield pd.DataFrame({"task": np.full(len(known), task, "int32"), "lang": lang, "g": list(known), "n": list(known.values())})
 
-        for pdf in common.batches(frames, 4000, 1_500_000):
+        for pdf in common.batches(frames, 10_000, 2_000_000):
             for lang, part in _by_language(pdf):
                 known = found.setdefault(lang, {})
                 for trusted, some in part.groupby("trusted"):
@@ -116,7 +117,7 @@ def score(docs: DataFrame, order: int, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         task, tables = TaskContext.get().partitionId(), None
-        for pdf in common.batches(frames, 4000, 1_500_000):
+        for pdf in common.batches(frames, 10_000, 2_000_000):
             if tables is None:
                 system, local = fs.FileSystem.from_uri(f"{folder}/task={task}")
                 table = pq.ParquetDataset(local, filesystem=system, partitioning=None).read(columns=["lang", "g", "logp"]).to_pandas()
@@ -143,6 +144,8 @@ def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: f
         ids = F.broadcast(ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
     rows = rows.join(ids, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "lang", F.coalesce("t", F.lit(False)).alias("trusted"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(max(1, -(-size // TASK_BYTES)))  # large tasks: fewer tables of mostly the same n-grams
     made = scratch.save(count(rows, order), "counts")
     every = scratch.save(made.groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
     logp = probabilities(every.select("lang", "g"), every.where("n > 0"), order, scratch)
