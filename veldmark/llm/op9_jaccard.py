@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from veldmark.llm import common
 
-BAND = 1.3
+#: A band's largest size is this power of the largest ratio of partners' sizes times its smallest.
+BAND_POWER = 2.5
 SKETCH = 8  # words of 64 bits
 
 
@@ -45,7 +46,7 @@ def band_starts(percent: int, longest: int = 1 << 40) -> list[int]:
     """Smallest sizes of the bands. A partner of a set is in its band or in a neighbouring one."""
     out = [1]
     while out[-1] < longest:
-        out.append(max(out[-1] * 100 // percent + 1, int(out[-1] * BAND) + 1))
+        out.append(max(out[-1] * 100 // percent + 1, int(out[-1] * (100 / percent) ** BAND_POWER) + 1))
     return out
 
 
@@ -218,7 +219,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
     )
     info = nodes.select(F.col("row").alias("r"), F.struct("n", "sketch").alias("s"))
     code = lambda own: (F.col("row") * 2 + own).alias("code")
-    flat = nodes.select(F.explode("own").alias("entry"), code(1)).unionAll(nodes.select(F.explode("below").alias("entry"), code(0)))
+    flat = nodes.select(F.explode("own").alias("entry"), code(1)).unionAll(nodes.select(F.explode("below").alias("entry"), code(0))).repartition("entry")  # one exchange, used twice
     shared = flat.groupBy("entry").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high")
     members = flat.join(shared.select("entry", F.expr("low div 2").alias("rep")), "entry")
     members = scratch.save(members.select("entry", F.expr("code div 2").alias("row"), F.expr("code % 2 = 1").alias("own"), "rep"), "members")
