@@ -5,7 +5,7 @@ texts. The counts are summed, lower orders are continuation counts, and the prob
 n-grams asked for come from joins with the counts and context totals of each order, all keyed and sharded by
 (language, n-gram); nothing is broadcast but discounts (a row for a language and order). Each task then gets back the
 probabilities of its own n-grams and scores its documents. A document's perplexity is compared with a quantile of the trusted
-documents of its language.
+documents of its language; a tenth of these, by a hash, is kept out of the counts for that.
 
 A null language is one of its own. Null and empty texts have no n-grams, a null perplexity, and are kept, as is
 every document of a language without trusted text. Copies and repeated rows are scored alike.
@@ -39,8 +39,10 @@ def grams(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np
     for i in range(order):
         key = (key ^ (codes[at + i] + np.uint64(i + 1))) * _MULT[i % len(_MULT)]
         key ^= key >> np.uint64(29)
-    distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return joined, distinct, at[first], inverse, sizes
+    inverse, distinct = pd.factorize(key)
+    first = np.zeros(len(distinct), np.int64)
+    first[inverse[::-1]] = at[::-1]
+    return joined, distinct, first, inverse, sizes
 
 
 def _by_language(pdf: pd.DataFrame):
@@ -131,9 +133,9 @@ def score(docs: DataFrame, order: int, folder: str) -> DataFrame:
                 sums = np.concatenate([[0], np.cumsum(logp[inverse])])[np.concatenate([[0], np.cumsum(sizes)])]
                 i = place[part.index].to_numpy()
                 total[i], n[i] = np.diff(sums), sizes
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "lang": pdf["lang"].array, "trusted": pdf["trusted"].array, "n_grams": n, "total": total})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "lang": pdf["lang"].array, "held": pdf["held"].array, "n_grams": n, "total": total})
 
-    return docs.mapInPandas(run, "doc_id long, lang string, trusted boolean, n_grams long, total double")
+    return docs.mapInPandas(run, "doc_id long, lang string, held boolean, n_grams long, total double")
 
 
 def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.995) -> DataFrame:
@@ -143,7 +145,9 @@ def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: f
     if trusted.count() <= BROADCAST_LABELS:
         ids = F.broadcast(ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    rows = rows.join(ids, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "lang", F.coalesce("t", F.lit(False)).alias("trusted"))
+    rows = rows.join(ids, F.col("doc_id") == F.col("id"), "left").select(
+        "doc_id", "text", "lang", F.expr("t is not null and pmod(xxhash64(doc_id), 10) > 0").alias("trusted"), F.expr("t is not null and pmod(xxhash64(doc_id), 10) = 0").alias("held")
+    )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.coalesce(max(1, -(-size // TASK_BYTES)))  # large tasks: fewer tables of mostly the same n-grams
     made = scratch.save(count(rows, order), "counts")
@@ -152,7 +156,7 @@ def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: f
     folder = scratch.path("logp")
     made.select("task", "lang", "g").join(logp, ["lang", "g"]).repartition("task").write.partitionBy("task").option("compression", "zstd").parquet(folder)
     scored = scratch.save(score(rows, order, folder).withColumn("perplexity", F.expr("if(n_grams > 0, exp(-total / n_grams), null)")), "scored")
-    limit = scored.where("trusted and perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("threshold"))
+    limit = scored.where("held and perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("threshold"))
     return scored.join(F.broadcast(limit), "lang", "left").select(
         "doc_id", F.nullif("lang", F.lit("")).alias("lang"), "n_grams", "perplexity", "threshold", F.expr("perplexity is null or threshold is null or perplexity <= threshold").alias("keep")
     )
