@@ -190,16 +190,23 @@ def compare(surroundings: DataFrame, length: int) -> DataFrame:
         return out
 
     def run(frames):
-        held, held_bytes, key = [], 0, None
+        held, held_bytes, last = [], 0, None
         for pdf in frames:
-            for k, part in pdf.groupby(["h", "shard"], sort=False):
-                if key is not None and k != key and held_bytes > SHARD_BYTES:
-                    yield from shard(pd.concat(held))
-                    held, held_bytes = [], 0
-                held.append(part)
-                held_bytes += int(part["bytes"].str.len().sum())
-                key = k
-        if held:
+            if not len(pdf):
+                continue
+            keys = pdf[["h", "shard"]].to_numpy()
+            size = np.cumsum(pdf["bytes"].str.len().to_numpy())
+            cuts = np.flatnonzero(np.r_[last is None or (keys[0] != last).any(), (keys[1:] != keys[:-1]).any(axis=1)])
+            start = done = 0
+            for cut in cuts.tolist():  # a shard ends between two anchors only
+                here = int(size[cut - 1]) if cut else 0
+                if held_bytes + here - done > SHARD_BYTES:
+                    yield from shard(pd.concat([*held, pdf.iloc[start:cut]]))
+                    held, held_bytes, start, done = [], 0, cut, here
+            held.append(pdf.iloc[start:])
+            held_bytes += int(size[-1]) - done
+            last = keys[-1]
+        if held_bytes:
             yield from shard(pd.concat(held))
 
     dealt = surroundings.repartition("h", "shard").sortWithinPartitions("h", "shard")
