@@ -109,8 +109,14 @@ def tokens(text: str) -> set[str]:
 
 
 def parts(token: str) -> list[str]:
-    """A token without the marks around it; a long one as overlapping pieces."""
+    """A token without the marks around it, and without those inside if it has any; a long one as overlapping pieces."""
     token = _EDGE.sub("", token)
+    if not token.isalnum() and token.isprintable() and (bare := re.sub(r"[\W_]+", "", token)) != token:
+        return [*_pieces(token), *_pieces(bare)]
+    return _pieces(token)
+
+
+def _pieces(token: str) -> list[str]:
     if len(token) <= LONGEST:
         return [token] if len(token) > 1 else []
     return [token[i : i + LONGEST] for i in range(0, len(token) - LONGEST // 2, LONGEST // 2)]

@@ -19,6 +19,7 @@ from veldmark.llm import common
 
 # Fixed values of the contract: what is no part of a word, and the size of a window.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 
@@ -85,8 +86,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         return with_row.join(bad, "__row", "left_anti").drop("__row")
     spans = found.where("n_hit > 0").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     joined = with_row.join(spans, "__row", "left")
-    word = SEPARATORS.replace("[", "[^", 1)
-    parts = joined.withColumn("__parts", F.expr(rf"regexp_extract_all(text, r'({word})|({SEPARATORS})', 0)"))
+    word = SEPARATORS_ANY_CASE.replace("[", "[^", 1)
+    parts = joined.withColumn("__parts", F.expr(rf"regexp_extract_all(text, r'({word})|({SEPARATORS_ANY_CASE})', 0)"))
     parts = parts.withColumn("__lead", F.expr(f"if(text rlike r'^{word}', 0, 1)"))
     kept = F.expr("concat_ws('', filter(__parts, (x, i) -> i < __lead or not exists(__spans, v -> (i - __lead) div 2 >= v.s and (i - __lead) div 2 < v.s + v.n)))")
     return parts.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept)).drop("__row", "__spans", "__parts", "__lead").select(docs.columns)
