@@ -22,7 +22,7 @@ from veldmark.llm import common
 
 ORDER = 5
 PAD = "\x02"
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 BROADCAST_LABELS = 2_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -71,7 +71,7 @@ def count(docs: DataFrame, order: int) -> DataFrame:
                     for i, n in zip(first.tolist(), counts.tolist()):
                         g = joined[i : i + order]
                         known[g] = known.get(g, 0) + n
-            if sum(map(len, found.values())) > 1_500_000:
+            if sum(map(len, found.values())) > 400_000:
                 yield from rows()
                 found.clear()
         yield from rows()
