@@ -22,7 +22,7 @@ from veldmark.llm import common
 
 ORDER = 5
 PAD = "\x02"
-TASK_BYTES = 32 << 20
+TASK_BYTES = 64 << 20
 BROADCAST_LABELS = 2_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -62,7 +62,7 @@ def count(docs: DataFrame, order: int) -> DataFrame:
             for lang, known in found.items():
                 yield pd.DataFrame({"task": np.full(len(known), task, "int32"), "lang": lang, "g": list(known), "n": list(known.values())})
 
-        for pdf in common.batches(frames, 10_000, 2_000_000):
+        for pdf in common.batches(frames, 10_000, 1_200_000):
             for lang, part in _by_language(pdf):
                 known = found.setdefault(lang, {})
                 for trusted, some in part.groupby("trusted"):
@@ -71,7 +71,7 @@ def count(docs: DataFrame, order: int) -> DataFrame:
                     for i, n in zip(first.tolist(), counts.tolist()):
                         g = joined[i : i + order]
                         known[g] = known.get(g, 0) + n
-            if sum(map(len, found.values())) > 400_000:
+            if sum(map(len, found.values())) > 1_500_000:
                 yield from rows()
                 found.clear()
         yield from rows()
@@ -119,7 +119,7 @@ def score(docs: DataFrame, order: int, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         task, tables = TaskContext.get().partitionId(), None
-        for pdf in common.batches(frames, 10_000, 2_000_000):
+        for pdf in common.batches(frames, 10_000, 1_200_000):
             if tables is None:
                 system, local = fs.FileSystem.from_uri(f"{folder}/task={task}")
                 table = pq.ParquetDataset(local, filesystem=system, partitioning=None).read(columns=["lang", "g", "logp"]).to_pandas()
