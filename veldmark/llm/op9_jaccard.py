@@ -7,8 +7,8 @@ allocations that add up to H + 1, two similar sets differ by less than the alloc
 segment at least and meet there. `allocate` takes the split of least estimated cost, counting entries and
 chance meetings among the number of sets given. Candidates are verified on their texts.
 
-Equal sets are one node from the start. The members of an index entry are first compared with one of
-them; once they are known to be connected, further pairs need no comparison. Later rounds
+Equal sets are one node from the start. A set is first compared with the one of smallest row
+that most of its entries name; once the members of an entry are known to be connected, further pairs need no comparison. Later rounds
 compare with another member, and the last one takes every remaining pair of an entry whose two sets are not yet connected, so
 no link between components is lost, while a group of n near copies costs about n comparisons and not n * n.
 Before texts are compared, a pair must pass its sizes and a parity sketch, both exact lower bounds.
@@ -30,6 +30,8 @@ from veldmark.llm import common
 #: A band's largest size is this power of the largest ratio of partners' sizes times its smallest.
 BAND_POWER = 2.5
 SKETCH = 8  # words of 64 bits
+#: Shingles of distinct sets for each shard of the index; they make about 0.4 entries each, of 24 bytes in memory.
+SHARD_WORDS = 4_000_000
 
 
 def words(text: str) -> list[bytes]:
@@ -148,35 +150,164 @@ class Signer:
         bits = 64 * SKETCH
         odd = np.bincount(owner * bits + (code % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
         sketch = np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
-        band = np.searchsorted(self.starts, size, side="right") - 1
-        low = band - 1
-        reach = (self.starts[band] - 1) * 100 // self.percent  # of the largest set of the band below
-        low = np.where((band >= 1) & (size <= reach), low, -1)
-        a, b = self.entries(owner, code, size, band), self.entries(owner, code, size, low)
-        return {"size": size, "s1": s1, "s2": s2, "sketch": sketch, "own": split(*a, n), "below": split(*b, n)}
+        return {"size": size, "s1": s1, "s2": s2, "sketch": sketch}
 
-
-def split(owner: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
-    order = np.argsort(owner, kind="stable")
-    return np.split(values[order].view(np.int64), np.cumsum(np.bincount(owner, minlength=n))[:-1])
+    def meetings(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, entry, whether the entry is of the text's own band) of all index entries."""
+        owner, code = self.sets(texts)
+        size = np.bincount(owner, minlength=len(texts))
+        band = np.where(size > 0, np.searchsorted(self.starts, size, side="right") - 1, -1)
+        reach = (self.starts[band.clip(min=0)] - 1) * 100 // self.percent  # of the largest set of the band below
+        (a, x), (b, y) = self.entries(owner, code, size, band), self.entries(owner, code, size, np.where((band >= 1) & (size <= reach), band - 1, -1))
+        return np.concatenate([a, b]), np.concatenate([x, y]), np.repeat([True, False], [len(a), len(b)])
 
 
-SIGNED = "row long, doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, own array<long>, below array<long>"
+SIGNED = "row long, doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>"
 
 
-def signed(docs: DataFrame, k: int, percent: int, n_sets: int) -> DataFrame:
+def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(frames):
-        signer = Signer(k, percent, n_sets)
+        signer = Signer(k, percent, 1)
         for pdf in common.batches(frames, 1000, 2_000_000):
             x = signer.sign(pdf["text"].fillna("").tolist())
             yield pd.DataFrame({
                 "row": pdf["row"].to_numpy(), "doc_id": pdf["doc_id"].astype("Int64").array, "n_shingles": x["size"],
-                "s1": x["s1"].view(np.int64), "s2": x["s2"].view(np.int64), "sketch": list(x["sketch"]), "own": x["own"], "below": x["below"],
+                "s1": x["s1"].view(np.int64), "s2": x["s2"].view(np.int64), "sketch": list(x["sketch"]),
             })
 
     return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SIGNED)
 
 
+class Rows:
+    """Rows in files sorted by row; a task reads the files that its own rows overlap and holds no others."""
+
+    def __init__(self, files: list[tuple[str, int, int]]):
+        self.files, self.held = files, {}
+
+    def find(self, rows: np.ndarray):
+        """For each file: (numbers of ``rows`` found there, once for each match, and the matches as a pandas frame)."""
+        from pyarrow import fs
+        from pyarrow import parquet
+
+        near = [f for f in self.files if len(rows) and f[1] <= rows.max() and f[2] >= rows.min()]
+        self.held = {f: self.held[f] for f in near if f in self.held}
+        for f in near:
+            if f not in self.held:
+                system, path = fs.FileSystem.from_uri(f[0])
+                self.held[f] = parquet.read_table(path, filesystem=system).to_pandas().sort_values("row", ignore_index=True)
+            held = self.held[f]
+            low, high = (np.searchsorted(held["row"].to_numpy(), rows, side) for side in ("left", "right"))
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            yield np.repeat(np.arange(len(rows)), n), held.iloc[at]
+
+    def among(self, rows: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(rows), bool)
+        for at, _ in self.find(rows):
+            found[at] = True
+        return found
+
+
+def filed(rows: DataFrame, scratch: common.Scratch, name: str) -> list[tuple[str, int, int]]:
+    """Write ``rows`` in files by ranges of row; the (path, smallest, largest) of each file."""
+    saved = scratch.save(rows.repartitionByRange("row"), name)
+    return [tuple(r) for r in saved.groupBy(F.input_file_name()).agg(F.min("row"), F.max("row")).collect()]  # a row for each file
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Longs by byte places, so that the places that hardly vary are compressed away in the exchange."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def longs(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def shared_entries(docs: DataFrame, reps: list[tuple[str, int, int]], k: int, percent: int, n_sets: int, n_shards: int) -> DataFrame:
+    """(entry, row, own, rep): the entries that more than one row of ``reps`` has, and another of these rows to compare with.
+
+    Entries go to shards in packed blocks. An entry that a chunk of a task has more than once goes to its shard with
+    one row only, and the chunk's other rows go to shards taken in turn, with that row to compare with. So a shard gets
+    a frequent entry once from each chunk.
+    """
+
+    def send(frames):
+        signer, held, parts, total, turn = Signer(k, percent, n_sets), Rows(reps), [], 0, 0
+
+        def blocks():
+            nonlocal turn
+            entry, row, own = (np.concatenate(x) for x in zip(*parts))
+            code = row * 2 + own
+            order = np.lexsort((code, entry))
+            entry, code = entry[order], code[order]
+            first = np.ones(len(entry), bool)
+            first[1:] = entry[1:] != entry[:-1]
+            start = np.flatnonzero(first)
+            many = np.diff(np.append(start, len(entry))) > 1
+            shard = (entry[start].view(np.uint64) % np.uint64(n_shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            ends = np.cumsum(np.bincount(shard, minlength=n_shards))
+            for i, (x, y) in enumerate(zip([0, *ends[:-1]], ends)):
+                if y > x:
+                    at = by[x:y]
+                    yield i, entry[start[at]].tobytes(), planes(code[start[at]]), planes(many[at].astype(np.int64)), False
+            rest = np.flatnonzero(~first)
+            lead = start[np.cumsum(first)[rest] - 1]
+            for x in range(0, len(rest), 50_000):
+                at = rest[x : x + 50_000]
+                turn += 1
+                yield (turn * 7919 + int(code[0])) % n_shards, entry[at].tobytes(), planes(code[at]), planes(code[lead[x : x + 50_000]]), True
+
+        for pdf in common.batches(frames, 1000, 2_000_000):
+            row = pdf["row"].to_numpy()
+            keep = held.among(row)
+            row, texts = row[keep], pdf["text"][keep].fillna("").tolist()
+            if texts:
+                owner, entry, own = signer.meetings(texts)
+                parts.append((entry.view(np.int64), row[owner], own))
+                total += len(entry)
+            if total > 1_500_000:
+                yield pd.DataFrame(list(blocks()), columns=["shard", "entries", "codes", "more", "rest"])
+                parts, total = [], 0
+        if total:
+            yield pd.DataFrame(list(blocks()), columns=["shard", "entries", "codes", "more", "rest"])
+
+    def out(entry, code, rep):
+        for i in range(0, len(entry), 200_000):
+            e, c, r = entry[i : i + 200_000], code[i : i + 200_000], rep[i : i + 200_000]
+            yield pd.DataFrame({"entry": e, "row": c // 2, "own": c % 2 == 1, "rep": r // 2})
+
+    def meet(parts):
+        entry, code, many = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((code, entry))
+        entry, code, many = entry[order], code[order], many[order]
+        first = np.ones(len(entry), bool)
+        first[1:] = entry[1:] != entry[:-1]
+        start = np.flatnonzero(first)
+        n = np.diff(np.append(start, len(entry)))
+        keep = np.repeat(n > 1, n) | (many > 0)
+        yield from out(entry[keep], code[keep], np.repeat(code[start], n)[keep])
+
+    def receive(frames):
+        shard, parts = None, []
+        for pdf in frames:
+            for s, e, c, m, rest in zip(*(pdf[x] for x in ("shard", "entries", "codes", "more", "rest"))):
+                if s != shard and parts:
+                    yield from meet(parts)
+                    parts = []
+                shard = s
+                e = np.frombuffer(e, "<i8")
+                if rest:
+                    yield from out(e, longs(c), longs(m))
+                else:
+                    parts.append((e, longs(c), longs(m)))
+        if parts:
+            yield from meet(parts)
+
+    sent = docs.select("row", "text").mapInPandas(send, "shard int, entries binary, codes binary, more binary, rest boolean")
+    return sent.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInPandas(receive, "entry long, row long, own boolean, rep long")
+
+
 def plausible(percent: int, a: str, b: str) -> F.Column:
     """Sizes and sketches allow the similarity; both bounds are exact."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -184,54 +315,70 @@ def plausible(percent: int, a: str, b: str) -> F.Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity."""
-    ta, tb = (texts.select(F.col("row").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+def verify(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts reach the similarity.
 
-    def run(frames):
+    The partners of a row go to groups of about 64. A scan of the texts looks up which groups need a text and sends it there,
+    the first row of the pairs once for each group; a group's texts are then compared with its first one by one.
+    """
+    groups = pairs.groupBy("a").agg(F.expr("count(*) div 64 + 1").alias("n"))
+    routes = scratch.save(pairs.join(groups, "a").select("a", F.expr("pmod(xxhash64(b), n)").alias("g"), "b"), "routes")
+    routes = routes.select(F.col("b").alias("row"), "a", "g").unionAll(routes.select(F.col("a").alias("row"), "a", "g").distinct())
+    files = filed(routes, scratch, "route-files")
+
+    def send(frames):
+        held = Rows(files)
+        for pdf in frames:
+            text = pdf["text"].to_numpy()
+            for at, to in held.find(pdf["row"].to_numpy()):
+                for i in range(0, len(at), 500):
+                    yield to[i : i + 500].assign(text=text[at[i : i + 500]])
+
+    def compare(frames):
+        key = lead = None
         for pdf in frames:
-            known, keep = {}, np.zeros(len(pdf), bool)
-            for i, (a, b, x, y) in enumerate(zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"])):
-                for row, text in ((a, x), (b, y)):
-                    if row not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[row] = shingles(text, k)
-                s, t = known[a] if a in known else shingles(x, k), known[b]
-                both = len(s & t)
-                keep[i] = 100 * both >= percent * (len(s) + len(t) - both)
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return pairs.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
-
-
-def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+            keep = np.zeros(len(pdf), bool)
+            for i, (row, a, g, text) in enumerate(zip(pdf["row"], pdf["a"], pdf["g"], pdf["text"])):
+                if row == a:
+                    key, lead = (a, g), shingles(text, k)
+                    continue
+                if key != (a, g):
+                    raise ValueError("a group without its first text")
+                s = shingles(text, k)
+                both = len(s & lead)
+                keep[i] = 100 * both >= percent * (len(s) + len(lead) - both)
+            yield pdf.loc[keep, ["a", "row"]].rename(columns={"row": "b"})
+
+    sent = docs.select("row", "text").mapInPandas(send, "row long, a long, g long, text string")
+    return sent.repartition("a", "g").sortWithinPartitions("a", "g", F.col("row") != F.col("a")).mapInPandas(compare, "a long, b long")
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
     """(row, doc_id, n_shingles, component_row, component_id) of ``docs`` (row, doc_id, text).
 
     ``docs`` is read more than once; ``row`` must name the same row each time, as the numbers of a scan do.
     """
     scratch = common.Scratch(docs.sparkSession, "jaccard")
-    made = scratch.save(signed(docs, k, percent, docs.count()), "signed")
+    docs = docs.select("row", "doc_id", "text")
+    made = scratch.save(signed(docs, k, percent), "signed")
     full = made.where("n_shingles > 0")
-    same = scratch.save(full.groupBy("s1", "s2", "n_shingles").agg(F.min("row").alias("rep")), "same")
-    nodes = scratch.save(
-        full.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.col("n_shingles").alias("n"), "sketch", "own", "below"), "nodes"
-    )
-    info = nodes.select(F.col("row").alias("r"), F.struct("n", "sketch").alias("s"))
-    code = lambda own: (F.col("row") * 2 + own).alias("code")
-    flat = nodes.select(F.explode("own").alias("entry"), code(1)).unionAll(nodes.select(F.explode("below").alias("entry"), code(0))).repartition("entry")  # one exchange, used twice
-    shared = flat.groupBy("entry").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high")
-    members = flat.join(shared.select("entry", F.expr("low div 2").alias("rep")), "entry")
-    members = scratch.save(members.select("entry", F.expr("code div 2").alias("row"), F.expr("code % 2 = 1").alias("own"), "rep"), "members")
+    same = scratch.save(full.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("row", "sketch")).alias("low")).select("s1", "s2", "n_shingles", "low.*").withColumnRenamed("row", "rep"), "same")
+    info = same.select(F.col("rep").alias("r"), F.struct(F.col("n_shingles").alias("n"), "sketch").alias("s"))
+    n_sets, n_words = same.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    reps = filed(same.select(F.col("rep").alias("row")), scratch, "reps")
+    members = scratch.save(shared_entries(docs, reps, k, percent, n_sets, n_words // SHARD_WORDS + 1), "members")
 
     def linked(pairs: DataFrame, sized: bool = False) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if not sized:
             both = pairs.join(info.select(F.col("r").alias("a"), F.col("s").alias("x")), "a").join(info.select(F.col("r").alias("b"), F.col("s").alias("y")), "b")
             pairs = both.where(plausible(percent, "x", "y")).select("a", "b")
-        return scratch.save(verify(pairs, docs.select("row", F.coalesce("text", F.lit("")).alias("text")), k, percent), "links")
+        return scratch.save(verify(pairs, docs, scratch, k, percent), "links")
 
-    links = linked(members.where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b")))
+    # Each row is first compared with the one that it shares the most entries with.
+    met = members.where("row <> rep").groupBy("row", "rep").agg(F.count("*").alias("n"))
+    best = met.groupBy("row").agg(F.max(F.struct("n", (-F.col("rep")).alias("rep"))).alias("m"))
+    links = linked(best.select((-F.col("m.rep")).alias("a"), F.col("row").alias("b")))
     for turn in range(1, rounds + 1):
         found = scratch.save(common.connected_components(links, scratch), "components")
         named = members.join(found, F.col("row") == F.col("node"), "left").select("entry", "row", "own", F.coalesce("component", "row").alias("c"))
@@ -253,7 +400,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
             pairs = x.join(y, meet).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
             links = links.unionAll(linked(pairs, True))
             found = scratch.save(common.connected_components(links, scratch), "components")
-    of = made.select("row", "doc_id", "n_shingles", "s1", "s2").join(same, ["s1", "s2", "n_shingles"], "left")
+    of = made.select("row", "doc_id", "n_shingles", "s1", "s2").join(same.drop("sketch"), ["s1", "s2", "n_shingles"], "left")
     of = of.join(found, F.col("rep") == F.col("node"), "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "rep", "row").alias("component_row"))
     of = scratch.save(of, "rows")
     low = of.groupBy("component_row").agg(F.min("doc_id").alias("component_id"))
