@@ -52,10 +52,12 @@ def band_starts(percent: int, longest: int = 1 << 40) -> list[int]:
     return out
 
 
-def allocate(starts: list[int], percent: int, n_sets: int) -> list[tuple[int, int]]:
-    """For each band (segments of allocation 1, segments of allocation 2).
+def allocate(starts: list[int], percent: int, n_sets: int) -> list[tuple[int, int, int]]:
+    """For each band (segments of allocation 1, segments of allocation 2, spare ones among the former).
 
-    A chance meeting is taken to have probability exp(-segment length) for one pair of sets in 10,000.
+    Empty segments would make any two sets meet. So there are some more segments than the pigeonhole asks for, about as many as are
+    empty in a set, and sets with no more empty segments of allocation 1 than that need not meet in these.
+    A chance meeting in a segment of allocation 2 is taken to have probability exp(-segment length) for one pair of sets in 10,000.
     """
     out = []
     for low, end in zip(starts, starts[1:]):
@@ -64,11 +66,16 @@ def allocate(starts: list[int], percent: int, n_sets: int) -> list[tuple[int, in
         need = (100 - percent) * (a + b) // (100 + percent) + 1
         best = None
         for two in range(need // 2 + 1):
-            one = need - 2 * two
+            least = need - 2 * two
+            spare = 0
+            for _ in range(30):
+                empty = (least + spare) * np.exp(-low / (least + spare + two))
+                spare = min(least // 2, int(empty + 4 * empty**0.5 + 1))
+            one = least + spare
             length = low / (one + two)
-            cost = one + two * (length + 1) + n_sets * (one * np.exp(-length) + two * (1 + length) * np.exp(-length)) * 1e-4
+            cost = one + two * (length + 1) + n_sets * two * (1 + length) * np.exp(-length) * 1e-4
             if best is None or cost < best[0]:
-                best = (cost, one, two)
+                best = (cost, one, two, spare)
             if two > 64:
                 break
         out.append(best[1:])
@@ -91,7 +98,7 @@ class Signer:
         self.k, self.percent, self.limit, self.cache = k, percent, limit, {}
         self.starts = np.array(band_starts(percent))
         plan = allocate(self.starts.tolist(), percent, n_sets)
-        self.one, self.two = (np.array([p[i] for p in plan]) for i in (0, 1))
+        self.one, self.two, self.spare = (np.array([p[i] for p in plan]) for i in (0, 1, 2))
 
     def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text number, shingle hash of 54 bits), sorted and distinct, of at most 1,000 texts."""
@@ -134,9 +141,13 @@ class Signer:
         place = np.arange(base[-1]) - base[slot_owner]
         salt = mix((s[slot_owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + _M3)
         whole = mix(total ^ salt)
-        near = (place >= self.one[s[slot_owner]])[slot]  # segments of allocation 2 come last
+        one = place < self.one[s[slot_owner]]
+        empty = one & (np.bincount(slot, minlength=len(total)) == 0)
+        many = np.bincount(slot_owner[empty], minlength=len(scheme)) > self.spare[s]  # these sets also meet in empty segments
+        keep = ~empty | many[slot_owner]
+        near = ~one[slot]  # segments of allocation 2 come last
         deleted = mix((total[slot[near]] - x[near]) ^ salt[slot[near]])
-        return np.concatenate([slot_owner, owner[near]]), np.concatenate([whole, deleted])
+        return np.concatenate([slot_owner[keep], owner[near]]), np.concatenate([whole[keep], deleted])
 
     def sign(self, texts: list[str]) -> dict:
         owner, code = self.sets(texts)
