@@ -94,6 +94,15 @@ def test_secrets(spark):
     assert right / n > 0.95
 
 
+def test_long_secrets(spark):
+    rnd = random.Random(12)
+    base64 = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    jwt = f"eyJ{base64(33)}.eyJ{base64(500)}.{base64(342)}".replace("+", "-").replace("/", "_")
+    rows = [(1, f'a token = "{base64(600)}" end'), (2, f"a token: {jwt} end"), (3, f"secret='{jwt}'"), (4, f"api_key={base64(5000)}\nend")]
+    out = {r.doc_id: r.text for r in op3_secrets.redact(docs(spark, rows)).collect()}
+    assert out == {1: 'a token = "[secret]" end', 2: "a token: [secret] end", 3: "secret='[secret]'", 4: "api_key=[secret]\nend"}
+
+
 @pytest.mark.parametrize("n,k", [(1, 3), (50, 2), (400, 1), (800, 3), (900, 200)])
 def test_suffix_array(n, k):
     t = np.r_[np.random.default_rng(n).integers(1, k + 1, n), 0]

@@ -24,7 +24,7 @@ from veldmark.llm import common
 
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_])[\w.-]{0,24}?(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_?KEY|[Aa]ccess[_-]?[Kk]ey|[Cc]redential)[\w-]{0,12}[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;<>(){}\[\]]{6,200})"
+    r"|(?<![A-Za-z0-9_])[\w.-]{0,24}?(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_?KEY|[Aa]ccess[_-]?[Kk]ey|[Cc]redential)[\w-]{0,12}[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;<>(){}\[\]]{6,})"
     r"|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 )
 #: Words that tell of a secret nearby, words that tell of harmless strings, and words of the dictionary.
