@@ -1,6 +1,9 @@
 """Secret scan: candidates by patterns, false positives removed by a random forest.
 
-Candidates are values of assignments to telling names, key blocks, and long mixed runs. Their features are length,
+Candidates are values of assignments to telling names, key blocks, and long mixed runs. Names, blanks on one line and
+values have any length. A value in quotes goes to the closing quote on its line (a backslash escapes); without one, and without
+quotes, it ends at white space, a quote, a comma, a semicolon or a bracket. If the forest rejects a value in quotes, the
+candidates in it are judged by themselves. Their features are length,
 character classes and the transitions between them, coverage by dictionary words, whether they look
 like a path or an address, and the words around them. The forest is trained on labelled findings, which
 `labelled_findings` makes from patterns of real and of harmless strings (a bounded number, fixed
@@ -22,11 +25,15 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from veldmark.llm import common
 
-CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_])[\w.-]{0,24}?(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_?KEY|[Aa]ccess[_-]?[Kk]ey|[Cc]redential)[\w-]{0,12}[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"',;<>(){}\[\]]{6,})"
-    r"|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-)
+BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+#: A telling name from its keyword on; what is before the keyword can have any length.
+NAME = re.compile(r"(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_?KEY|[Aa]ccess[_-]?[Kk]ey|[Cc]redential)[\w-]*+")
+BEFORE_NAME = re.compile(r"[\w.-]")
+_GAP = r"(?:[^\S\r\n]*+(?!\s)|\s{0,3}(?!\s))"
+ASSIGNED = re.compile(rf"[\"']?{_GAP}[=:]{_GAP}")
+QUOTED = re.compile(r"\"(?P<d>(?:[^\"\\\r\n]++|\\[^\r\n])*+)\"|'(?P<s>(?:[^'\\\r\n]++|\\[^\r\n])*+)'")
+PLAIN = re.compile(r"[\"']?(?P<value>[^\s\"',;<>(){}\[\]]{6,}+)")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 #: Words that tell of a secret nearby, words that tell of harmless strings, and words of the dictionary.
 TELLING = ["password", "passwd", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "private"]
 HARMLESS = ["sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "example", "sample", "test", "version", "revision", "build", "id", "etag", "integrity"]
@@ -53,24 +60,58 @@ def features(value: str, before: str, after: str) -> list[float]:
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
     moves = sum(a != b for a, b in zip(kinds, kinds[1:])) / m
     vowels = sum(c in "aeiouAEIOUäöüéèêáíóú" for c in value) / max(1, n)
-    words = re.findall(r"[a-z0-9]+", before.lower())
+    words, names = re.findall(r"[a-z0-9]+", before.lower()), re.findall(r"[\w.-]+", before.lower())
     near = words[-4:] + re.findall(r"[a-z]+", after.lower())[:2]
+    told = sum(any(t in w for t in TELLING) for w in near) or any(t in w for w in names[-1:] for t in TELLING)
     return [
         float(min(n, 200)), entropy, moves, kinds.count("d") / m, kinds.count("u") / m, kinds.count("l") / m, kinds.count("o") / m, vowels,
         coverage(value), float(value.count("/") + value.count("\\")), float("." in value), float("://" in before[-8:] + value), float(value.count("-")),
-        float(sum(any(t in w for t in TELLING) for w in near)), float(sum(w in HARMLESS for w in near)),
+        float(told), float(value.count(" ")), float(sum(w in HARMLESS for w in near)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(value.startswith(PREFIXES)), float(len(counts) / max(1, n)),
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), float(max((len(x) for x in re.findall(r"[A-Za-z]+", value)), default=0)), float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", value.lower()))),
     ]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span("value") if m["value"] else m.span()
-        value = text[a:b]
-        if m["value"] or value.startswith("-----") or (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or value.startswith(PREFIXES):
+    """Spans by start, longer ones first. A quoted value with blanks or marks is a candidate besides what is in it."""
+    found, covered = set(), [*(m.span() for m in BLOCK.finditer(text))]
+    found.update(covered)
+    for lo, hi in gaps(covered, len(text)):
+        at = lo
+        for m in NAME.finditer(text, lo, hi):
+            if m.start() < at or not (sign := ASSIGNED.match(text, m.end(), hi)):
+                continue
+            if quoted := QUOTED.match(text, sign.end(), hi):
+                a, b = quoted.span(quoted.lastgroup)
+                if b - a >= 6:
+                    found.add((a, b))
+            if plain := PLAIN.match(text, sign.end(), hi):
+                first = m.start()
+                while first > at and BEFORE_NAME.match(text, first - 1):
+                    first -= 1
+                at = plain.end()
+                found.add(plain.span("value"))
+                covered.append((first, at))
+    for lo, hi in gaps(sorted(covered), len(text)):
+        for m in RUN.finditer(text, lo, hi):
+            value = m[0]
+            if (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or value.startswith(PREFIXES):
+                found.add(m.span())
+    return sorted(found, key=lambda s: (s[0], -s[1]))
+
+
+def gaps(spans: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
+    """What is between ``spans``, which are in order and do not overlap."""
+    return list(zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), end]))
+
+
+def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``spans`` in the order of `candidates`, without those that start in one before."""
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
             out.append((a, b))
+            at = b
     return out
 
 
@@ -86,6 +127,15 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
     name = lambda: rnd.choice(["token", "password", "secret", "api_key", "access_key", "db_password", "AUTH_TOKEN", "client_secret", "passwd"])
     join = lambda: rnd.choice([" = ", "=", ": ", ":", " := "[1:]])
     quote = lambda x: rnd.choice(['"%s"', "'%s'", "%s"]) % x
+    long_name = lambda: rnd.choice(["%s_", "%s."]) % "_".join(word() + word() for _ in range(rnd.randint(1, 4))).upper() + name() + rnd.choice(["", "_" + "_".join(word() for _ in range(rnd.randint(1, 5)))])
+    wide = lambda: rnd.choice([join(), " " * rnd.randint(0, 12) + rnd.choice("=:") + " " * rnd.randint(0, 12)])
+
+    def marked() -> str:
+        """Digits, letters and the marks at which an unquoted value would end."""
+        x = [*alnum(rnd.randint(6, 20)), str(rnd.randint(0, 9)), *(rnd.choice(",;()<>{}[]&!#%$@*") for _ in range(rnd.randint(1, 4)))]
+        rnd.shuffle(x)
+        return rnd.choice([word(), ""]) + "".join(x)
+
     yes = [
         lambda: name() + join() + quote(hexa(rnd.choice([16, 18, 20, 24, 32, 40, 64]))),
         lambda: name() + join() + quote(alnum(rnd.randint(10, 48))),
@@ -96,6 +146,9 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: "eyJ" + alnum(30) + "_" + alnum(40),
         lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(alnum(64) for _ in range(3)) + "\n-----END RSA PRIVATE KEY-----",
         lambda: name() + join() + quote(word()[:5] + rnd.choice("!#%$@") + alnum(rnd.randint(6, 12))),
+        lambda: long_name() + wide() + quote(rnd.choice([alnum(rnd.randint(8, 40)), word()[:6] + str(rnd.randint(1, 99)) + rnd.choice("!#%$@*") + alnum(rnd.randint(0, 3))])),
+        lambda: rnd.choice([name, long_name])() + wide() + rnd.choice(['"%s"', "'%s'"]) % marked(),
+        lambda: name() + join() + quote(rnd.choice([alnum(rnd.randint(100, 1000)), f"eyJ{alnum(rnd.randint(17, 40))}.eyJ{alnum(rnd.randint(40, 400))}.{alnum(rnd.randint(43, 342))}"])),
     ]
     no = [
         lambda: rnd.choice(["commit ", "sha1: ", "md5=", "checksum ", "digest: ", "etag ", "sha256:", "hash "]) + hexa(rnd.choice([32, 40, 64])),
@@ -109,6 +162,9 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
         lambda: name() + join() + word() + word() + word(),
         lambda: f"{rnd.randint(2000, 2030)}-01-{rnd.randint(10, 28)}T{rnd.randint(10, 23)}-30-00Z",
         lambda: "https://example.org/" + "/".join(word() for _ in range(3)) + f"/{rnd.randint(1, 10**6)}",
+        lambda: long_name() + wide() + quote(rnd.choice(["changeme", "your_token_here", "example-key", "placeholder", "${TOKEN}", "os.environ"])),
+        lambda: rnd.choice([name, long_name])() + wide() + rnd.choice(['"%s"', "'%s'"]) % (words(rnd.randint(2, 8)).capitalize() + rnd.choice(["", ".", "?", ", " + words(3), " (" + words(2) + ")", ", AKIA" + upper(16) + " " + words(2)])),
+        lambda: rnd.choice([name, long_name])() + wide() + rnd.choice(['"<%s>"', '"{%s}"', '"[%s]"', '"{{ %s }}"', '"$(%s)"']) % rnd.choice([word() + word(), "your token here", "password", word() + "_" + word()]),
     ]
     out = []
     for i in range(n):
@@ -170,13 +226,20 @@ class Forest:
 
 
 def around(text: str, a: int, b: int) -> list[float]:
-    return features(text[a:b], text[max(0, a - 60) : a], text[b : b + 30])
+    """Features with 60 characters before, or with all of the name that the value is assigned to."""
+    at = a
+    while at and text[at - 1] in "\"'=: \t":
+        at -= 1
+    if "=" in text[at:a] or ":" in text[at:a]:
+        while at and BEFORE_NAME.match(text, at - 1):
+            at -= 1
+    return features(text[a:b], text[min(at, max(0, a - 60)) : a], text[b : b + 30])
 
 
 def train(findings: list[tuple[str, int]] | None = None) -> Forest:
     x, y = [], []
     for text, label in findings or labelled_findings():
-        for a, b in candidates(text):
+        for a, b in outermost(candidates(text)):
             x.append(around(text, a, b))
             y.append(label)
     return Forest(np.array(x), np.array(y, float))
@@ -198,7 +261,8 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
                 x += [around(text, a, b) for a, b in spans]
             p, at, out = held.value.predict(np.array(x)) if x else [], 0, []
             for spans in found:
-                out.append([{"start": a, "end": b} for (a, b), v in zip(spans, p[at : at + len(spans)]) if v >= threshold])
+                taken = outermost([s for s, v in zip(spans, p[at : at + len(spans)]) if v >= threshold])
+                out.append([{"start": a, "end": b} for a, b in taken])
                 at += len(spans)
             yield pdf.assign(__candidates=[len(s) for s in found], __secrets=out)
 
