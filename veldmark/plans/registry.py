@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldmark.functions import gfm, paths
+from veldmark.operators import ocr
 from veldmark.sources import documents
 
 ESCAPED = r"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({c}, '([\\`*_~\[\]<>#!])', '\\\1', 'g'), '&', '&amp;'), '(?m)^( {{0,3}})([-+])(\s)', '\1\\\2\3', 'g'), '(?m)^( {{0,3}})(-{{3,}}|={{3,}})(\s*)$', '\1\\\2\3', 'g'), '(?m)^( {{0,3}}[0-9]+)([.)])(\s)', '\1\\\2\3', 'g')"
@@ -73,13 +74,14 @@ def asset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words grouped to lines: joined in order, mean confidence, union of boxes (lineitem stands for recognised words)."""
-    words = _table(spark, sf_dir, "lineitem")
-    lines = words.groupBy(F.col("l_orderkey").alias("line")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda w: w["l_returnflag"]), " ").alias("text"),
-        F.min("l_quantity").alias("left"), F.max("l_quantity").alias("right"), F.count("*").alias("n_words"),
+    """Lines of `ocr.lines`: an order stands for an image with one line, its items for words one pixel wide at l_quantity."""
+    one = F.lit(1)
+    words = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(ocr.MAX_NUMBER).alias("image_width"), one.alias("image_height"), F.lit(5).alias("level"),
+        *(one.alias(c) for c in ocr.KEY), F.col("l_linenumber").alias("word"), F.col("l_quantity").alias("left"), F.lit(0).alias("top"),
+        one.alias("width"), one.alias("height"), F.lit(96.0).alias("conf"), F.col("l_returnflag").alias("text"),
     )
-    return lines
+    return ocr.lines(words).select(F.col("doc_id").alias("line"), "text", "left", (F.col("right") - 1).alias("right"), "n_words")
 
 
 QUERIES = [pages_to_markdown, page_titles, escape_documents, escape_urls, nation_table, part_headings, part_code_spans, reserved_names, page_formats, unsafe_links, asset_manifest, ocr_lines]
