@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 from veldmark.functions.paths import extension_format, magic_format
 from veldmark.operators import emit, html, structured
 
-RESULT = "doc_id string, format string, status string, error_code string, title string, markdown string, n_blocks int, warnings array<struct<code:string,message:string>>"
+RESULT = "doc_id string, format string, status string, error_code string, title string, markdown string, n_blocks int, warnings array<struct<code:string,message:string>>, error_message string"
 MAX_INPUT_BYTES = 500 << 20
 
 
 def scan(spark: SparkSession, path: str, max_bytes: int = MAX_INPUT_BYTES) -> DataFrame:
-    """Files of a folder; the length is checked before any content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= max_bytes).select(F.col("path").alias("doc_id"), "path", F.lit(None).cast("string").alias("source_url"), "content")
+    """Files of a folder; the length is checked before any content is read, larger files have a ``limit_error`` instead."""
+    return limited(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), max_bytes)
+
+
+def limited(files: DataFrame, max_bytes: int) -> DataFrame:
+    """A row for each of ``files``. The larger ones are a branch of their own that does not ask for content, so it is not read."""
+    fields = [F.col("path").alias("doc_id"), "path", F.lit(None).cast("string").alias("source_url")]
+    error = F.format_string(f"limit input_bytes exceeded: actual %d, maximum {max_bytes}", F.col("length"))
+    small = files.where(F.col("length") <= max_bytes).select(*fields, "content", F.lit(None).cast("string").alias("limit_error"))
+    return small.unionByName(files.where(F.col("length") > max_bytes).select(*fields, F.lit(None).cast("binary").alias("content"), error.alias("limit_error")))
 
 
 def with_format(docs: DataFrame) -> DataFrame:
@@ -62,14 +69,18 @@ def convert_one(kind: str | None, content: bytes, source_url: str | None) -> tup
 
 
 def convert(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, path, source_url, content) to `RESULT` rows."""
+    """``docs`` (doc_id, path, source_url, content, and limit_error if there is one) to `RESULT` rows."""
+    if "limit_error" not in docs.columns:
+        docs = docs.withColumn("limit_error", F.lit(None).cast("string"))
 
     def run(frames):
         for pdf in frames:
-            rows = [convert_one(*x) for x in zip(pdf["format"], pdf["content"], pdf["source_url"])]
+            over = [isinstance(x, str) for x in pdf["limit_error"]]
+            rows = [(None, "error", "limit_exceeded", None, None, 0, []) if o else convert_one(*x) for o, *x in zip(over, pdf["format"], pdf["content"], pdf["source_url"])]
             out = pd.DataFrame(rows, columns=["format", "status", "error_code", "title", "markdown", "n_blocks", "warnings"])
             out["warnings"] = [[{"code": c, "message": m} for c, m in w] for w in out["warnings"]]
             out.insert(0, "doc_id", pdf["doc_id"].astype(str).to_numpy())
+            out["error_message"] = [e if o else None for o, e in zip(over, pdf["limit_error"])]
             yield out.astype({"n_blocks": "int32"})
 
-    return with_format(docs).select("doc_id", "format", "source_url", "content").mapInPandas(run, RESULT)
+    return with_format(docs).select("doc_id", "format", "source_url", "content", "limit_error").mapInPandas(run, RESULT)
