@@ -7,14 +7,16 @@ once in each table and looked up with its part and all parts one bit away. Of th
 meets only the first counts, and pairs within the distance are reranked with the original vectors in double
 precision. Equal vectors are one node; their copies are counted, not paired.
 
-The sample has at most ``sample`` vectors, the first by a hash; all vectors are coded and looked up.
-Recall is measured against brute force in tests/llm/test_op5.py (0.9 is asked for).
-Vectors that are null, zero, of an unusual length or hold null or non-finite components, and rows without
+Vectors of each length have a rotation and tables of their own. The sample has at most ``sample`` vectors of a length, the
+first by a hash; all vectors are coded and looked up. Recall is measured against brute force in tests/llm/test_op5.py (0.9 is asked for).
+Vectors that are null, zero or hold null or non-finite components, and rows without
 label, link with nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,19 +48,19 @@ CODES = "node long, label string, code long, vector array<double>"
 
 
 def near_pairs(nodes: DataFrame, threshold: float, bits: int, tables: int, sample: int, scratch: common.Scratch) -> DataFrame:
-    """(a, b) of ``nodes`` (node, label, vector) whose cosine reaches the threshold."""
+    """(a, b) of ``nodes`` (node, label, vector; vectors of one length) whose cosine reaches the threshold."""
     taken = nodes.orderBy(F.xxhash64("node")).limit(sample).select("vector").toPandas()["vector"]
     if not len(taken):
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    dim = pd.Series([len(v) for v in taken]).mode()[0]
-    mean, projection = learn_rotation(np.array([v / np.linalg.norm(v) for v in taken if len(v) == dim]), bits)
+    dim = len(taken[0])
+    mean, projection = learn_rotation(np.array([v / np.linalg.norm(v) for v in taken]), bits)
     n = projection.shape[1]
+    tables = min(tables, n)
     part = n // tables
 
     def code(frames):
         weights = np.uint64(1) << np.arange(n, dtype=np.uint64)
         for pdf in frames:
-            pdf = pdf[[len(v) == dim for v in pdf["vector"]]]
             if len(pdf):
                 x = np.array(pdf["vector"].tolist())
                 big = np.abs(x).max(1, keepdims=True)
@@ -66,7 +68,7 @@ def near_pairs(nodes: DataFrame, threshold: float, bits: int, tables: int, sampl
                 codes = ((x - mean) @ projection >= 0) @ weights
                 yield pd.DataFrame({"node": pdf["node"], "label": pdf["label"], "code": codes.astype(np.uint64).view(np.int64), "vector": list(x)})
 
-    coded = scratch.save(nodes.mapInPandas(code, CODES), "codes")
+    coded = scratch.save(nodes.mapInPandas(code, CODES), f"codes-{dim}")
     key = f"shiftrightunsigned(code, {part} * t) & {(1 << part) - 1}L"
     entered = coded.select("node", "label", "code", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).withColumn("k", F.expr(key))
     asked = entered.withColumn("k", F.explode(F.expr(f"concat(array(k), transform(sequence(0, {part - 1}), i -> k ^ shiftleft(1L, i)))")))
@@ -98,7 +100,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int = 64,
     fine = usable(rows)
     nodes = fine.groupBy("label", "embedding").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     nodes = scratch.save(nodes.withColumnRenamed("embedding", "vector"), "nodes")
-    pairs = scratch.save(near_pairs(nodes.select("node", "label", "vector"), threshold, bits, tables, sample, scratch), "pairs")
+    lengths = [r["length"] for r in nodes.groupBy(F.size("vector").alias("length")).count().where("count > 1").orderBy("length").collect()]
+    found = [near_pairs(nodes.where(F.size("vector") == n).select("node", "label", "vector"), threshold, bits, tables, sample, scratch) for n in lengths]
+    none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    pairs = scratch.save(reduce(DataFrame.unionAll, found) if found else none, "pairs")
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = nodes.select("node", "copies")
     links = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
