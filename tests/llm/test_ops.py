@@ -214,6 +214,19 @@ def test_quality(spark):
     assert not out[100].keep and out[101].keep and out[102].keep and sum(out[i].keep for i in range(60)) >= 40
 
 
+def test_quality_with_few_held_out(spark):
+    tenth = {r.id for r in spark.range(1, 3000).where("pmod(xxhash64(id), 10) = 0").collect()}
+    inside, outside = sorted(tenth)[:3], [i for i in range(1, 3000) if i not in tenth][:20]
+    text = lambda i: f"the cat number {i} sat on the mat and looked at the dog"
+    rows = [(i, text(i), "none") for i in outside[:10]] + [(5000, "zq#xv@@kk!!pw~~0x9f zzqx", "none")]
+    rows += [(i, text(i), "few") for i in [*outside[10:], *inside]] + [(5001, "zq#xv@@kk!!pw~~0x9f zzqx", "few")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in [*outside, *inside]], "doc_id long")
+    out = {r.doc_id: r for r in op7_quality.quality(table, trusted).collect()}
+    assert all(r.threshold is None and r.keep for r in out.values() if r.lang == "none")
+    assert not out[5001].keep and {r.threshold for r in out.values() if r.lang == "few"} == {max(out[i].perplexity for i in inside)}
+
+
 def test_decontamination(spark):
     item = " ".join(f"b{i}" for i in range(20))
     rows = [(1, f"x y {item} z"), (2, " ".join(WORDS)), (3, None), (4, ""), (5, f"a B0-b1 {item}"), (6, "tiny"), (7, "Say  SHORT item!")]

@@ -8,7 +8,9 @@ probabilities of its own n-grams and scores its documents. A document's perplexi
 documents of its language; a tenth of these, by a hash, is kept out of the counts for that.
 
 A null language is one of its own. Null and empty texts have no n-grams, a null perplexity, and are kept, as is
-every document of a language without trusted text. Copies and repeated rows are scored alike.
+every document of a language without trusted text. A language whose trusted documents all miss the held-out tenth (likely
+below about 20 of them) has a null threshold, and all its documents are kept too: it is not filtered. With few held-out
+documents the quantile is their maximum. Copies and repeated rows are scored alike.
 """
 
 from __future__ import annotations
