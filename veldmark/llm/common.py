@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -53,6 +54,18 @@ class Scratch:
             delete(self.spark, path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row that is the same in every read of it.
+
+    The numbers of a plain scan depend on its files alone. A plan that shuffles or samples is written first, since rows may
+    come in another order when a lost part of it is made again.
+    """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if re.search(r"Exchange|Join|Aggregate|Window|Sort|Sample|Limit|Pandas|Python|Arrow|ExistingRDD|InMemory", plan):
+        df = Scratch(df.sparkSession, "numbered").save(df, "rows")
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

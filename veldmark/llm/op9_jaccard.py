@@ -1,25 +1,33 @@
 """Exact Jaccard join of word shingles by partitioning the universe (pigeonhole), and its components.
 
 Sets are dealt to size bands. For two sets of a band (or of neighbouring bands) that reach the similarity, the symmetric
-difference is at most some H that depends on the band alone. The shingles are hashed into segments, and each segment gets an
+difference is at most some H that depends on the band alone. The shingles are hashed into segments, and each segment has an
 allocation: 1 is an index entry of the whole segment, 2 one of the segment and of its one-deletion neighbourhood. With
-allocations that add up to H + 1, two similar sets differ by less than the allocation in one
-segment at least and meet there. `allocate` takes the split of least estimated cost, counting entries and
-chance meetings among the number of sets given. Candidates are verified on their texts.
-
-Equal sets are one node from the start. The members of an index entry are first compared with one of
-them; once they are known to be connected, further pairs need no comparison. Later rounds
-compare with another member, and the last one takes every remaining pair of an entry whose two sets are not yet connected, so
-no link between components is lost, while a group of n near copies costs about n comparisons and not n * n.
-Before texts are compared, a pair must pass its sizes and a parity sketch, both exact lower bounds.
-
-Shingles are compared by 64-bit hashes of their words where equal sets are grouped and by the words themselves where
-pairs are verified. Null and empty texts have no shingles and are linked with nothing; a text with fewer words than a
-shingle is one shingle; repeated rows are linked like any copies. A null doc_id never names a component that has others.
+allocations that add up to H + 1 + e, two similar sets meet in segments whose allocations, less what differs there, add
+up to e + 1 at least. The e spare units are for segments without content: a set is weak if its empty segments (and, at
+allocation 2, its segments of one shingle) weigh more than e. Only weak sets leave entries without content, for two sets of which one
+is not weak meet in an entry with content anyway. `allocate` takes the split and the spare units of least cost from the
+numbers of sets in the bands, which one pass counts. Candidates are verified on their words.
+
+Entries cross the network packed: a task combines equal ones, sorts them and sends a block of 40 bits and a row for each
+to every part. Entries that a task finds twice itself go out as members of their group at once, so that a group of a third of
+all rows reaches its part as one row from each task. Equal sets are one node. The members of an entry are first
+compared with one of them; once they are known to be connected, further pairs need no comparison. Later rounds compare with another
+member, and the last one takes the remaining pairs of an entry whose two sets are not yet connected and whose sizes allow the
+similarity, so no link between components is lost, while a group of n near copies costs about n comparisons and not n * n.
+Before texts are compared, a pair must pass its sizes and a parity sketch as long as its sets, both exact bounds. A text
+goes once to each block of at most about 256 partners.
+
+Shingles are compared by 64-bit hashes of their words where sets are counted and equal sets are grouped (by size and two sums of 64
+bits) and by the words themselves where pairs are verified. Null and empty texts have no shingles and are linked with nothing;
+a text with fewer words than a shingle is one shingle; repeated rows are linked like any copies; an empty table gives no
+rows; further columns are not read. A null doc_id never names a component that has others.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +37,13 @@ from veldmark.llm import common
 
 #: A band's largest size is this power of the largest ratio of partners' sizes times its smallest.
 BAND_POWER = 2.5
-SKETCH = 8  # words of 64 bits
+#: Index entries that a task of signing holds, and that a part of the exchange gets on average.
+HELD, PART = 2_000_000, 1_000_000
+#: Cost of a comparison of two sets by size and sketch, in index entries.
+COMPARE = 2
+#: Partners of a text in one block; rows up to which the list of texts to verify is broadcast (about 40 bytes a row).
+BLOCK, BROADCAST_ROWS = 256, 500_000
+LOW = (1 << 40) - 1
 
 
 def words(text: str) -> list[bytes]:
@@ -50,25 +64,49 @@ def band_starts(percent: int, longest: int = 1 << 40) -> list[int]:
     return out
 
 
-def allocate(starts: list[int], percent: int, n_sets: int) -> list[tuple[int, int]]:
-    """For each band (segments of allocation 1, segments of allocation 2).
+def tail(mean: float, e: int) -> float:
+    """About the probability that a Poisson number exceeds e."""
+    if mean > 30:
+        return 0.5 * math.erfc((e + 0.5 - mean) / math.sqrt(2 * mean))
+    term = total = math.exp(-mean)
+    for i in range(1, e + 1):
+        term *= mean / i
+        total += term
+    return max(0.0, 1 - total)
+
+
+def steps(most: int) -> list[int]:
+    """0 to ``most``, the larger ones in steps of about a tenth."""
+    out = [0]
+    while out[-1] < most:
+        out.append(min(most, max(out[-1] + 1, out[-1] * 11 // 10)))
+    return out
+
 
-    A chance meeting is taken to have probability exp(-segment length) for one pair of sets in 10,000.
+def allocate(starts: list[int], percent: int, counts: list[int]) -> list[tuple[int, int, int]]:
+    """For each band (segments of allocation 1, segments of allocation 2, spare units).
+
+    ``counts`` has the number of sets of each band; those of the next one may also enter it. The cost of a set is its
+    entries and its comparisons with other weak sets in segments without content.
     """
     out = []
-    for low, end in zip(starts, starts[1:]):
+    for i, (low, end) in enumerate(zip(starts, starts[1:])):
+        n = counts[i] + (counts[i + 1] if i + 1 < len(counts) else 0)
         a = end - 1
         b = a * 100 // percent
         need = (100 - percent) * (a + b) // (100 + percent) + 1
-        best = None
-        for two in range(need // 2 + 1):
-            one = need - 2 * two
-            length = low / (one + two)
-            cost = one + two * (length + 1) + n_sets * (one * np.exp(-length) + two * (1 + length) * np.exp(-length)) * 1e-4
-            if best is None or cost < best[0]:
-                best = (cost, one, two)
-            if two > 64:
-                break
+        size, best = math.sqrt(low * a), None
+        for spare in steps(need // 2 + 2 if n and need > 1 else 0):
+            for two in steps(min(64, (need + spare) // 2) if n else 0):
+                one = need + spare - 2 * two
+                length = size / (one + two)
+                empty = math.exp(-length)
+                weak = (one + two * (2 + length)) * empty
+                q = tail(weak, spare)
+                meet = q * q * min(1.0, max(weak, spare + 1) ** 2 / (one + two))
+                cost = one + two * (1 + length) + COMPARE * n * meet
+                if best is None or cost < best[0]:
+                    best = (cost, one, two, spare)
         out.append(best[1:])
     return out
 
@@ -83,16 +121,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Signer:
-    """Distinct shingle hashes, set hash, parity sketch and index entries of a batch of texts."""
+    """Distinct shingle hashes, set hashes, parity sketches and index entries of a batch of texts."""
 
-    def __init__(self, k: int, percent: int, n_sets: int, limit: int = 500_000):
+    def __init__(self, k: int, percent: int, plan: list[tuple[int, int, int]], limit: int = 500_000):
         self.k, self.percent, self.limit, self.cache = k, percent, limit, {}
         self.starts = np.array(band_starts(percent))
-        plan = allocate(self.starts.tolist(), percent, n_sets)
-        self.one, self.two = (np.array([p[i] for p in plan]) for i in (0, 1))
+        self.one, self.two, self.spare = (np.array([p[i] for p in plan]) for i in range(3))
 
     def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, shingle hash of 54 bits), sorted and distinct, of at most 1,000 texts."""
+        """(text number, shingle hash), distinct."""
         import xxhash
 
         if len(self.cache) > self.limit:
@@ -110,14 +147,11 @@ class Signer:
         for i in range(k):
             x = h[np.minimum(at + i, max(0, len(h) - 1))]
             code = mix(code + _M1) + (np.where(i < size[at], x, np.uint64(0)) if short else x)
-        key = (owner[at].astype(np.uint64) << np.uint64(54)) | (mix(code) >> np.uint64(10))
-        key.sort()
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        key = key[first]
-        return (key >> np.uint64(54)).astype(np.int64), key & np.uint64((1 << 54) - 1)
-
-    def entries(self, owner: np.ndarray, code: np.ndarray, size: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code, many = mix(code), np.bincount(owner[at], minlength=len(texts))
+        own = [np.unique(c) for c in np.split(code, np.cumsum(many)[:-1])]
+        return np.repeat(np.arange(len(texts)), [len(c) for c in own]), np.concatenate(own)
+
+    def entries(self, owner: np.ndarray, code: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text number, entry) under each text's scheme (-1: none)."""
         use = scheme[owner] >= 0
         owner, code = owner[use], code[use]
@@ -128,13 +162,26 @@ class Signer:
         slot, x = base[owner] + seg, mix(code ^ _M2)
         total = np.zeros(base[-1], np.uint64)
         np.add.at(total, slot, x)
+        holds = np.bincount(slot, minlength=base[-1])
         slot_owner = np.repeat(np.arange(len(scheme)), segments)
         place = np.arange(base[-1]) - base[slot_owner]
         salt = mix((s[slot_owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + _M3)
-        whole = mix(total ^ salt)
-        near = (place >= self.one[s[slot_owner]])[slot]  # segments of allocation 2 come last
+        two = place >= self.one[s[slot_owner]]  # segments of allocation 2 come last
+        weight = (1 + two) * (holds == 0) + (two & (holds == 1))
+        weak = np.bincount(slot_owner, weight, minlength=len(scheme)) > self.spare[s]
+        whole = (holds > 0) | weak[slot_owner]
+        near = two[slot] & ((holds[slot] > 1) | weak[owner])
         deleted = mix((total[slot[near]] - x[near]) ^ salt[slot[near]])
-        return np.concatenate([slot_owner, owner[near]]), np.concatenate([whole, deleted])
+        return np.concatenate([slot_owner[whole], owner[near]]), np.concatenate([mix(total ^ salt)[whole], deleted])
+
+    def sketches(self, owner: np.ndarray, code: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """Parities of the hashes by their low bits, in two to four bits for each shingle and 512 at least."""
+        bits = np.maximum(512, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+        base = np.concatenate([[0], np.cumsum(bits)])
+        at = base[owner] + (code & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+        odd = (np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)
+        packed = np.packbits(odd, bitorder="little").tobytes()
+        return [packed[a // 8 : b // 8] for a, b in zip(base, base[1:])]
 
     def sign(self, texts: list[str]) -> dict:
         owner, code = self.sets(texts)
@@ -145,129 +192,237 @@ class Signer:
         s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         if len(some):
             s1[some], s2[some] = np.add.reduceat(mix(code ^ _M1), starts), np.add.reduceat(mix(code ^ _M3), starts)
-        bits = 64 * SKETCH
-        odd = np.bincount(owner * bits + (code % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
-        sketch = np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+        sketch, seen, first = self.sketches(owner, code, size), {}, np.zeros(n, bool)
+        for i in some:  # a batch's copies of a set leave entries once
+            first[i] = seen.setdefault((s1[i], s2[i], size[i]), i) == i
         band = np.searchsorted(self.starts, size, side="right") - 1
-        low = band - 1
         reach = (self.starts[band] - 1) * 100 // self.percent  # of the largest set of the band below
-        low = np.where((band >= 1) & (size <= reach), low, -1)
-        a, b = self.entries(owner, code, size, band), self.entries(owner, code, size, low)
-        return {"size": size, "s1": s1, "s2": s2, "sketch": sketch, "own": split(*a, n), "below": split(*b, n)}
+        low = np.where(first & (band >= 1) & (size <= reach), band - 1, -1)
+        a, b = self.entries(owner, code, np.where(first, band, -1)), self.entries(owner, code, low)
+        return {"size": size, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": sketch, "owner": np.concatenate([a[0], b[0]]), "entry": np.concatenate([a[1], b[1]])}
+
 
+INDEX = "part long, kind int, row long, doc_id long, n long, s1 long, s2 long, sketch binary, keys binary, rows binary"
+FOUND = "row long, doc_id long, n long, s1 long, s2 long, sketch binary, entry long"
 
-def split(owner: np.ndarray, values: np.ndarray, n: int) -> list[np.ndarray]:
-    order = np.argsort(owner, kind="stable")
-    return np.split(values[order].view(np.int64), np.cumsum(np.bincount(owner, minlength=n))[:-1])
 
+def frame(**columns) -> pd.DataFrame:
+    size = max(len(v) for v in columns.values() if not np.isscalar(v))
+    out = pd.DataFrame(index=range(size))
+    for name in [x.split()[0] for x in INDEX.split(", ")]:
+        out[name] = columns.get(name, pd.array([None] * size, dtype="object" if name in ("sketch", "keys", "rows") else "Int64"))
+    return out
 
-SIGNED = "row long, doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, own array<long>, below array<long>"
 
+def blocks(keys: np.ndarray, rows: np.ndarray, parts: int):
+    """Frames of a task's entries: a block for each part, and entries that the task has twice, with all their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    group = np.cumsum(new) - 1
+    twice = np.bincount(group)[group] > 1
+    if twice.any():
+        k, r = keys[twice], rows[twice]
+        cut = range(0, len(k), 100_000)
+        yield frame(part=[int(mix(k[i : i + 1])[0] % np.uint64(parts)) for i in cut], kind=2, keys=[k[i : i + 100_000].tobytes() for i in cut], rows=[r[i : i + 100_000].tobytes() for i in cut])
+    keys, rows = keys[new], rows[new]
+    part, starts = np.unique(keys >> np.uint64(40), return_index=True)
+    ends = [*starts[1:], len(keys)]
+    low = np.ascontiguousarray((keys & np.uint64(LOW)).view(np.uint8).reshape(-1, 8)[:, :5])
+    first = int(rows.min())
+    wide = int(rows.max()) - first >= 1 << 32
+    delta = (rows - first).astype(np.int64 if wide else np.uint32)
+    yield frame(part=part.astype(np.int64), kind=1, row=first, n=8 if wide else 4, keys=[low[a:b].tobytes() for a, b in zip(starts, ends)], rows=[delta[a:b].tobytes() for a, b in zip(starts, ends)])
+
+
+def meetings(frames):
+    """Of sorted rows of `INDEX`: rows of texts, and (entry, row) of the entries that more than one row has."""
+    keys, rows, part = [], [], None
+
+    def close():
+        if len(keys) > 1:
+            k, r = np.concatenate(keys), np.concatenate(rows)
+            order = np.argsort(k, kind="stable")
+            k, r = k[order], r[order]
+            same = k[1:] == k[:-1]
+            shared = np.r_[same, False] | np.r_[False, same]
+            return pd.DataFrame({"entry": (k[shared] | np.uint64(part << 40)).view(np.int64), "row": r[shared]})
+        return None
+
+    def shaped(x):
+        return x.reindex(columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    for pdf in frames:
+        texts = pdf[pdf["kind"] == 0]
+        if len(texts):
+            yield shaped(texts)
+        for x in pdf[pdf["kind"] > 0].itertuples():
+            if x.kind == 2:
+                yield shaped(pd.DataFrame({"entry": np.frombuffer(x.keys, np.int64), "row": np.frombuffer(x.rows, np.int64)}))
+                continue
+            if x.part != part:
+                found = close()
+                if found is not None:
+                    yield shaped(found)
+                keys, rows, part = [], [], int(x.part)
+            b = np.zeros((len(x.keys) // 5, 8), np.uint8)
+            b[:, :5] = np.frombuffer(x.keys, np.uint8).reshape(-1, 5)
+            keys.append(b.view(np.uint64).ravel())
+            rows.append(np.frombuffer(x.rows, np.int64 if x.n == 8 else np.uint32).astype(np.int64) + int(x.row))
+    found = close()
+    if found is not None:
+        yield shaped(found)
+
+
+def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows of `FOUND`: one for each text (entry null), and (entry, row) of the entries that more than one text has."""
+    spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))  # about the words; steers costs only
+    sizes = docs.select(F.floor(4 * F.log(F.coalesce(spaces, F.lit(0)) + 1)).alias("bin")).groupBy("bin").count().collect()
+    starts = band_starts(percent)
+    counts = [0] * len(starts)
+    sized = [(max(1, int(math.exp((r.bin + 0.5) / 4)) - k + 1), r["count"]) for r in sizes]
+    for n, c in sized:
+        counts[int(np.searchsorted(starts, n, side="right")) - 1] += c
+    plan = allocate(starts, percent, counts)
+    total = 0
+    for n, c in sized:
+        i = int(np.searchsorted(starts, n, side="right")) - 1
+        for one, two, _ in plan[max(0, i - 1) : i + 1]:
+            total += c * (one + two + two * n / (one + two))
+    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffle, min(1 << 23, int(total // PART) + 1))
 
-def signed(docs: DataFrame, k: int, percent: int, n_sets: int) -> DataFrame:
     def run(frames):
-        signer = Signer(k, percent, n_sets)
+        signer, held, size = Signer(k, percent, plan), [], 0
         for pdf in common.batches(frames, 1000, 2_000_000):
-            x = signer.sign(pdf["text"].fillna("").tolist())
-            yield pd.DataFrame({
-                "row": pdf["row"].to_numpy(), "doc_id": pdf["doc_id"].astype("Int64").array, "n_shingles": x["size"],
-                "s1": x["s1"].view(np.int64), "s2": x["s2"].view(np.int64), "sketch": list(x["sketch"]), "own": x["own"], "below": x["below"],
-            })
-
-    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SIGNED)
+            x, row = signer.sign(pdf["text"].fillna("").tolist()), pdf["row"].to_numpy()
+            place = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            yield frame(part=place, kind=0, row=row, doc_id=pdf["doc_id"].astype("Int64").array, n=x["size"], s1=x["s1"], s2=x["s2"], sketch=x["sketch"])
+            e = x["entry"]
+            part = ((e >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            held.append(((part << np.uint64(40)) | (e & np.uint64(LOW)), row[x["owner"]]))
+            size += len(e)
+            if size > HELD:
+                yield from blocks(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
+                held, size = [], 0
+        if size:
+            yield from blocks(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
+
+    signed = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, INDEX)
+    return signed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(meetings, FOUND)
+
+
+def plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow; both bounds are exact."""
+    a, b = (info.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
+    def run(frames):
+        for pdf in frames:
+            keep = np.zeros(len(pdf), bool)
+            for i, (n, m, s, t) in enumerate(zip(pdf["na"], pdf["nb"], pdf["sa"], pdf["sb"])):
+                if len(s) > len(t):
+                    s, t = t, s
+                x, size = int.from_bytes(t, "little"), len(t)
+                while size > len(s):  # a longer sketch folds to a shorter one
+                    size //= 2
+                    x = (x >> 8 * size) ^ (x & ((1 << 8 * size) - 1))
+                keep[i] = (x ^ int.from_bytes(s, "little")).bit_count() * (100 + percent) <= (100 - percent) * (n + m)
+            yield pdf.loc[keep, ["a", "b"]]
 
-def plausible(percent: int, a: str, b: str) -> F.Column:
-    """Sizes and sketches allow the similarity; both bounds are exact."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity."""
-    ta, tb = (texts.select(F.col("row").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    """The distinct ``pairs`` (a, b) whose texts reach the similarity; a text a goes once to each block of its partners."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    salted = pairs.join(many, "a").select("a", F.expr("pmod(xxhash64(b), blocks)").alias("salt"), "b")
+    uses = salted.select("a", "salt", F.col("b").alias("row")).unionAll(salted.select("a", "salt", F.col("a").alias("row")).distinct())
+    if pairs.count() <= BROADCAST_ROWS // 2:
+        uses = F.broadcast(uses)
+    dealt = texts.join(uses, "row").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("row") != F.col("a"))
 
     def run(frames):
-        for pdf in frames:
-            known, keep = {}, np.zeros(len(pdf), bool)
-            for i, (a, b, x, y) in enumerate(zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"])):
-                for row, text in ((a, x), (b, y)):
-                    if row not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[row] = shingles(text, k)
-                s, t = known[a] if a in known else shingles(x, k), known[b]
-                both = len(s & t)
-                keep[i] = 100 * both >= percent * (len(s) + len(t) - both)
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return pairs.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
+        centre, own = None, set()
+        for pdf in common.batches(frames):
+            out = []
+            for a, salt, row, text in zip(pdf["a"], pdf["salt"], pdf["row"], pdf["text"]):
+                s = shingles(text, k)
+                if row == a:
+                    centre, own = (a, salt), s
+                    continue
+                if centre != (a, salt):
+                    raise ValueError("the rows of a block are not together")
+                both = len(s & own)
+                if 100 * both >= percent * (len(s) + len(own) - both):
+                    out.append((a, row))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.select("a", "salt", "row", "text").mapInPandas(run, "a long, b long")
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """(row, doc_id, n_shingles, component_row, component_id) of ``docs`` (row, doc_id, text).
 
-    ``docs`` is read more than once; ``row`` must name the same row each time, as the numbers of a scan do.
+    ``docs`` is read more than once; ``row`` must name the same row each time, as `common.numbered` sees to.
     """
     scratch = common.Scratch(docs.sparkSession, "jaccard")
-    made = scratch.save(signed(docs, k, percent, docs.count()), "signed")
-    full = made.where("n_shingles > 0")
-    same = scratch.save(full.groupBy("s1", "s2", "n_shingles").agg(F.min("row").alias("rep")), "same")
-    nodes = scratch.save(
-        full.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select("row", F.col("n_shingles").alias("n"), "sketch", "own", "below"), "nodes"
-    )
-    info = nodes.select(F.col("row").alias("r"), F.struct("n", "sketch").alias("s"))
-    code = lambda own: (F.col("row") * 2 + own).alias("code")
-    flat = nodes.select(F.explode("own").alias("entry"), code(1)).unionAll(nodes.select(F.explode("below").alias("entry"), code(0))).repartition("entry")  # one exchange, used twice
-    shared = flat.groupBy("entry").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high")
-    members = flat.join(shared.select("entry", F.expr("low div 2").alias("rep")), "entry")
-    members = scratch.save(members.select("entry", F.expr("code div 2").alias("row"), F.expr("code % 2 = 1").alias("own"), "rep"), "members")
-
-    def linked(pairs: DataFrame, sized: bool = False) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if not sized:
-            both = pairs.join(info.select(F.col("r").alias("a"), F.col("s").alias("x")), "a").join(info.select(F.col("r").alias("b"), F.col("s").alias("y")), "b")
-            pairs = both.where(plausible(percent, "x", "y")).select("a", "b")
-        return scratch.save(verify(pairs, docs.select("row", F.coalesce("text", F.lit("")).alias("text")), k, percent), "links")
-
-    links = linked(members.where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b")))
+    found = scratch.save(index(docs, k, percent), "index")
+    info = found.where("entry is null").select("row", "doc_id", "n", "s1", "s2", "sketch")
+    same = scratch.save(info.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep")), "same")
+    of = scratch.save(info.drop("sketch").join(same, ["s1", "s2", "n"], "left").select("row", "doc_id", "n", "rep"), "of")
+    met = found.where("entry is not null").select("entry", "row").join(of.select("row", "rep"), "row")
+    met = scratch.save(met.select("entry", F.col("rep").alias("node")).distinct(), "met")
+    several = met.groupBy("entry").agg(F.min("node").alias("rep"), F.max("node").alias("high")).where("rep <> high").select("entry", "rep")
+    members = scratch.save(met.join(several, "entry"), "members")
+    scratch.drop(met)
+    texts = docs.select("row", F.coalesce("text", F.lit("")).alias("text"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        allowed = scratch.save(plausible(pairs.distinct(), info, percent), "allowed")
+        return scratch.save(verify(allowed, texts, k, percent), "links")
+
+    links = linked(members.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
     for turn in range(1, rounds + 1):
-        found = scratch.save(common.connected_components(links, scratch), "components")
-        named = members.join(found, F.col("row") == F.col("node"), "left").select("entry", "row", "own", F.coalesce("component", "row").alias("c"))
+        groups = scratch.save(common.connected_components(links, scratch), "components")
+        named = members.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("entry", "node", F.coalesce("component", "node").alias("c"))
         mixed = named.groupBy("entry").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("entry")
         open_ = scratch.save(named.join(mixed, "entry"), "open")
         scratch.drop(members)
-        members = open_.select("entry", "row", "own")
-        if not open_.limit(1).count():
+        members = open_
+        if open_.isEmpty():
             break
         if turn < rounds:
-            by = F.min_by(F.struct("row", "c"), F.xxhash64("row", F.lit(turn)))
+            by = F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(turn)))
             reps = open_.groupBy("entry").agg(by.alias("rep"))
-            pairs = open_.join(reps, "entry").where("c <> rep.c").select(F.col("row").alias("a"), F.col("rep.row").alias("b"))
+            pairs = open_.join(reps, "entry").where("c <> rep.c").select(F.col("rep.node").alias("a"), F.col("node").alias("b"))
             links = links.unionAll(linked(pairs))
         else:
-            more = open_.join(info, F.col("row") == F.col("r")).select("entry", "row", "own", "c", "s")
-            x, y = more.alias("x"), more.where("own").alias("y")
-            meet = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.c") != F.col("y.c")) & (~F.col("x.own") | (F.col("x.row") < F.col("y.row"))) & plausible(percent, "x.s", "y.s")
-            pairs = x.join(y, meet).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-            links = links.unionAll(linked(pairs, True))
-            found = scratch.save(common.connected_components(links, scratch), "components")
-    of = made.select("row", "doc_id", "n_shingles", "s1", "s2").join(same, ["s1", "s2", "n_shingles"], "left")
-    of = of.join(found, F.col("rep") == F.col("node"), "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "rep", "row").alias("component_row"))
-    of = scratch.save(of, "rows")
-    low = of.groupBy("component_row").agg(F.min("doc_id").alias("component_id"))
-    return of.join(low, "component_row")
+            sized = scratch.save(open_.join(info.select(F.col("row").alias("node"), "n"), "node").withColumn("step", F.floor(F.log("n") / math.log(100 / percent))), "sized")
+            steps = sized.select("entry", "node", "c", "n", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+            x, y = sized.alias("x"), steps.alias("y")
+            meet = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.c") != F.col("y.c"))
+            meet &= (F.col("x.node") != F.col("y.node")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+            pairs = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            links = links.unionAll(linked(pairs))
+            groups = scratch.save(common.connected_components(links, scratch), "components")
+    named = of.join(groups, F.col("rep") == F.col("node"), "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "row").alias("component_row"))
+    named = scratch.save(named, "rows")
+    low = named.groupBy("component_row").agg(F.min("doc_id").alias("component_id"))
+    return named.join(low, "component_row")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each component: the smallest doc_id there, or any one row if that is repeated."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = common.numbered(docs, "__row")
     found = components(rows.select(F.col("__row").alias("row"), "doc_id", "text"), k, percent)
-    kept = found.groupBy("component_row").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("__row"))
-    return rows.join(kept.select("__row"), "__row", "left_semi").drop("__row")
+    kept = found.groupBy("component_row").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("kept"))
+    gone = common.Scratch(docs.sparkSession, "jaccard").save(found.join(kept, "component_row").where("row <> kept").select(F.col("row").alias("__row")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(gone, "__row", "left_anti").drop("__row")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    docs = common.numbered(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
     return components(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
