@@ -13,7 +13,7 @@ _ALWAYS = r"([\\`*_~\[\]<>#!])"
 
 def escape_text(c: Column | str, table: bool = False) -> Column:
     """Text made literal. Marks that only count at a line's start are escaped there alone."""
-    c = F.col(c) if isinstance(c, str) else c
+    c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"([\\`*_~\[\]<>#!|])" if table else _ALWAYS, r"\\$1")
     c = F.replace(c, F.lit("&"), F.lit("&amp;"))
     c = F.regexp_replace(c, r"(?mU)^( {0,3})([-+])(?=\s)", r"$1\\$2")
@@ -22,16 +22,16 @@ def escape_text(c: Column | str, table: bool = False) -> Column:
     return F.replace(c, F.lit("\n"), F.lit("<br>")) if table else c
 
 
-def escape_destination(c: Column | str) -> Column:
+def escape_destination(c: Column | str, table: bool = False) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    c = F.regexp_replace(c, r"([\\()])", r"\\$1")
+    c = F.regexp_replace(c, r"([\\()|])" if table else r"([\\()])", r"\\$1")
     for code in [*range(0x21), 0x7F]:
         c = F.replace(c, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     return c
 
 
-def escape_title(c: Column | str) -> Column:
-    return F.regexp_replace(c, r'([\\"])', r"\\$1")
+def escape_title(c: Column | str, table: bool = False) -> Column:
+    return F.regexp_replace(c, r'([\\"|])' if table else r'([\\"])', r"\\$1")
 
 
 def heading(level: Column, text: Column) -> Column:
@@ -52,3 +52,30 @@ def code_span(c: Column | str) -> Column:
 
 def table_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
+def line_endings(c: Column | str) -> Column:
+    return F.regexp_replace(c, r"\r\n?", "\n")
+
+
+def code_block(c: Column | str, language: str = "") -> Column:
+    """A fenced block; the fence is longer than any run of its mark in the text."""
+    mark = "~" if "`" in language else "`"
+    text = line_endings(c)
+    fence = F.repeat(F.lit(mark), F.greatest(F.lit(3), longest_run(text, mark) + 1))
+    return F.concat(fence, F.lit(language + "\n"), text, F.when(text.endswith("\n"), "").otherwise("\n"), fence)
+
+
+def quote(c: Column | str) -> Column:
+    lines = F.split(line_endings(c), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.when(x == "", ">").otherwise(F.concat(F.lit("> "), x))), "\n")
+
+
+def list_block(items: Column, start: int | None = None) -> Column:
+    """A list of the texts in an array, numbered from ``start`` if there is one; later lines of an item are indented."""
+
+    def item(text: Column, i: Column) -> Column:
+        lead = F.lit("- ") if start is None else F.concat((i + start).cast("string"), F.lit(". "))
+        return F.concat(lead, F.regexp_replace(text, F.lit(r"\n(?=[^\n])"), F.concat(F.lit("\n"), F.repeat(F.lit(" "), F.length(lead)))))
+
+    return F.array_join(F.transform(items, item), "\n")

@@ -26,6 +26,55 @@ def unsafe_link(c: Column | str) -> Column:
     return (F.instr(c, ":") > 0) & F.lower(F.regexp_replace(F.substring_index(c, ":", 1), r"[\s\p{Cntrl}]", "")).isin("javascript", "data")
 
 
+def safe_relative(c: Column | str) -> Column:
+    """An anchor, or a path that stays below the document."""
+    c = F.col(c) if isinstance(c, str) else c
+    path = F.translate(c, "\\", "/")
+    return c.startswith("#") | ~((F.instr(path, ":") > 0) | path.startswith("/") | F.array_contains(F.split(path, "/"), ".."))
+
+
+def external_reference(c: Column | str) -> Column:
+    """A reference with a scheme, or to a host."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "").rlike(r"^//|^[A-Za-z0-9+.-]*:")
+
+
+def pdf_safe_scheme(c: Column | str) -> Column:
+    return F.lower(F.regexp_extract(c, r"^\s*([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https", "mailto", "file")
+
+
+def web_url(c: Column | str) -> Column:
+    """An http or https URL with a host and without user or password."""
+    c = F.col(c) if isinstance(c, str) else c
+    authority = F.regexp_extract(c, r"^https?://([^/?#]*)", 1)
+    return authority.rlike(r"^(\[[0-9A-Fa-f:.]+\]|[^\s:@\\\[\]<>^|%]+)(:[0-9]{0,5})?$")
+
+
+def preview_link(c: Column | str) -> Column:
+    """What a preview may follow: an anchor of letters, digits and few marks, or a web URL; null for all else."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.rlike(r"^#[\p{L}\p{N}_.:-]+$") | web_url(c), c)
+
+
+def preview_image(c: Column | str) -> Column:
+    """Images of a preview come from the local asset host alone."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.lower(c).rlike(r"^asset://localhost([/?#:]|$)"), c)
+
+
+def unsafe_path(c: Column | str) -> Column:
+    """Paths that are no plain local ones: hosts, schemes, drives, devices, network mounts, reserved components."""
+    c = F.col(c) if isinstance(c, str) else c
+    slash = F.translate(c, "\\", "/")
+    return slash.isNull() | F.lower(slash).rlike(r"^//|^/\?\?/|^[a-z]:|^[a-z0-9+.-]+://|^/(device|global\?\?|dosdevices)/|^/(network/servers|net|afs)(/|$)") | reserved_path(slash)
+
+
+def percent_path(c: Column | str) -> Column:
+    """Bytes of UTF-8 as %XX, but for letters, digits and / . - _ of ASCII."""
+    c = F.col(c) if isinstance(c, str) else c
+    coded = lambda x: F.regexp_replace(F.hex(F.encode(x, "utf-8")), "(..)", "%$1")
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9/._-]+|[^A-Za-z0-9/._-]+)"), F.lit(1)), lambda x: F.when(x.rlike("^[A-Za-z0-9/._-]"), x).otherwise(coded(x))), "")
+
+
 def extension_format(c: Column | str) -> Column:
     """Format by extension, without regard to ASCII case; null for unknown extensions."""
     ext = F.lower(F.regexp_extract(c, r"\.([^./\\]+)$", 1))

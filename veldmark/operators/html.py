@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import html as entities
+import os
 import re
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import unquote, unquote_to_bytes
+
+from veldmark.functions import urls
+from veldmark.operators.errors import DEFAULT, Limits, within
+from veldmark.operators.model import Asset
 
 # Element groups of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -22,8 +29,29 @@ _TOKEN = re.compile(r"<!--(?:>|->|[\s\S]*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a
 _ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-class LimitError(ValueError):
-    code = "resource_limit"
+#: Types of images by extension.
+IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "avif": "image/avif"}
+
+
+def data_image(src: str) -> tuple[str, str, bytes] | str:
+    """(media type, extension, bytes) of a data URL."""
+    head, comma, body = src[5:].partition(",")
+    head, encoded = re.subn(r";\s*base64\s*$", "", head.strip(), flags=re.I)
+    kind = head.partition(";")[0].strip().lower()
+    extension = next((k for k, v in IMAGE_TYPES.items() if v == kind), None)
+    if not comma or extension is None:
+        return "invalid_asset_skipped"
+    data = unquote_to_bytes(re.sub(r"[\t\n\r]", "", body).partition("#")[0])
+    if encoded:
+        data = re.sub(rb"[ \t\n\f\r]", b"", data)
+        data = data[: -2 if data.endswith(b"==") else -1 if data.endswith(b"=") else None] if len(data) % 4 == 0 else data
+        try:
+            if b"=" in data:
+                return "invalid_asset_skipped"
+            data = base64.b64decode(data + b"=" * (-len(data) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            return "invalid_asset_skipped"
+    return head.strip(), extension, data
 
 
 class Element:
@@ -72,9 +100,22 @@ def tokens(text: str):
                 at = end.end() if end else n
 
 
-def parse(text: str, max_depth: int = 256, max_nodes: int = 1_000_000) -> Element:
+def title(text: str) -> str | None:
+    """The first title of a document, by its tokens alone; nothing after it is read."""
+    inside, out = False, ""
+    for kind, value, _ in tokens(text.removeprefix("\ufeff")):
+        if kind == "text":
+            out += value if inside else ""
+        elif value == "title":
+            if kind == "end" and inside:
+                break
+            inside = True
+    return " ".join(out.split()) or None
+
+
+def parse(text: str, limits: Limits = DEFAULT) -> Element:
     """A document tree. Formatting elements left open are opened again in the next paragraphs."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     document = Element("#document")
     root, head, body = Element("html"), Element("head"), Element("body")
     document.add(root)
@@ -297,11 +338,10 @@ def parse(text: str, max_depth: int = 256, max_nodes: int = 1_000_000) -> Elemen
     work, count = [(document, 0)], 0
     while work:
         e, depth = work.pop()
-        count += 1
-        if depth > max_depth or count > max_nodes:
-            raise LimitError("the tree is too deep or too large")
+        within("html_dom_depth", depth, limits.html_dom_depth)
+        count = within("html_dom_nodes", count + 1, limits.html_dom_nodes)
         if not isinstance(e, str):
-            work += [(c, depth + 1) for c in e.children]
+            work += [(c, depth + 1) for c in reversed(e.children)]
     return document
 
 
@@ -321,35 +361,70 @@ def visible(e) -> bool:
         return True
     if e.name in HIDDEN or "hidden" in e.attrs or e.attrs.get("aria-hidden", "").strip().lower() == "true":
         return False
-    style = re.sub(r"\s|!important", "", e.attrs.get("style", "").lower())
-    return not any(d in ("display:none", "visibility:hidden") for d in style.split(";"))
+    for declaration in e.attrs.get("style", "").lower().split(";"):
+        name, _, value = (x.strip() for x in declaration.partition(":"))
+        if (name, value.removesuffix("!important").strip()) in (("display", "none"), ("visibility", "hidden")):
+            return False
+    return True
+
+
+def text_of(e) -> str:
+    return e if isinstance(e, str) else "".join(map(text_of, e.children))
 
 
 def unsafe(url: str) -> bool:
-    scheme, colon, _ = url.partition(":")
-    return bool(colon) and "".join(c for c in scheme if not c.isspace() and c.isprintable()).lower() in ("javascript", "data")
+    """Scheme javascript or data, once white space and control characters are out."""
+    scheme, colon, _ = url.lstrip().partition(":")
+    return bool(colon) and re.sub(r"[\x00-\x20\x7f-\x9f]", "", scheme).lower() in ("javascript", "data")
 
 
 class Converter:
-    """Block tree of a document, with warnings (code, message)."""
+    """Block tree of a document, with its assets and warnings (code, message, page).
+
+    ``asset_refs`` has the asset ids of image sources that are known already; ``path`` is the file's own, under whose folder local
+    images are read.
+    """
+
+    def __init__(self, source_url: str | None = None, limits: Limits = DEFAULT, asset_refs: dict[str, str] | None = None, path: str | None = None):
+        self.source_url = self.base = source_url
+        self.limits, self.asset_refs, self.assets, self.asset_bytes, self.warnings = limits, {} if asset_refs is None else asset_refs, [], 0, []
+        local = unquote(path.removeprefix("file://").removeprefix("file:")) if path else ""
+        self.folder = os.path.dirname(os.path.realpath(local)) if local.startswith("/") and os.path.isfile(local) else None
+        self.file_url = f"file://{local}" if local.startswith("/") else None
 
-    def __init__(self, source_url: str | None = None):
-        self.base, self.warnings = source_url, []
+    def warn(self, code: str, message: str) -> None:
+        self.warnings.append((code, message, None))
 
     def resolve(self, url: str) -> str:
         url = url.strip()
-        try:
-            return urljoin(self.base, url) if self.base else url
-        except ValueError:
-            return url
+        for base in (self.base, self.source_url):
+            try:
+                if base:
+                    return str(urls.join(base, url))
+            except ValueError:
+                pass
+        return url
+
+    def set_base(self, href: str) -> None:
+        """The document's base, unless it is unsafe or nothing can be relative to it."""
+        if unsafe(href):
+            return
+        for base in (None, self.source_url, self.file_url):
+            try:
+                url = urls.join(base, href)
+            except ValueError:
+                continue
+            if url.path.startswith("/"):
+                self.base = str(url)
+            return
 
     def document(self, text: str) -> tuple[str | None, list]:
-        tree = parse(text)
+        tree = parse(text, self.limits)
         nodes = list(walk(tree))
-        title = next((" ".join("".join(c for c in e.children if isinstance(c, str)).split()) for e in nodes if e.name == "title"), "")
+        title = next((" ".join(text_of(e).split()) for e in nodes if e.name == "title"), "")
         base = next((e.attrs["href"].strip() for e in nodes if e.name == "base" and e.attrs.get("href", "").strip()), None)
-        if base and not unsafe(base) and urlsplit(self.resolve(base)).netloc:
-            self.base = self.resolve(base)
+        if base:
+            self.set_base(base)
         return title or None, self.container(tree)
 
     # blocks
@@ -444,20 +519,60 @@ class Converter:
         first = next(r for r in found if r)
         aligns = []
         for c in first:
-            style = re.search(r"text-align\s*:\s*(left|right|center)", c.attrs.get("style", "").lower())
-            a = c.attrs.get("align", "").strip().lower()
-            aligns.append(a if a in ("left", "right", "center") else style[1] if style else "none")
+            style = re.search(r"(?:^|;)\s*text-align\s*:([^;]*)", c.attrs.get("style", "").lower())
+            a = c.attrs["align"].strip().lower() if "align" in c.attrs else style[1].strip() if style else ""
+            aligns.append(a if a in ("left", "right", "center") else "none")
         cells = [[self.inline_run(c.children) for c in r] for r in found]
         return [("table", aligns + ["none"] * (width - len(aligns)), [r + [[]] * (width - len(r)) for r in cells])]
 
     def image(self, e: Element) -> list:
+        """The image as an asset; one that is not loaded leaves its alternative text."""
         alt, src = e.attrs.get("alt", "").strip(), e.attrs.get("src", "").strip()
         if not alt:
-            self.warnings.append(("missing_image_alt", "an image has no alternative text"))
-        if src:
-            outside = src.startswith("//") or src.lower().startswith(("http:", "https:"))
-            self.warnings.append(("external_asset_skipped" if outside else "invalid_asset_skipped", f"image {src[:80]} was not loaded"))
-        return [("paragraph", [("text", alt)])] if alt else []
+            self.warn("missing_image_alt", "an image has no alternative text")
+        if src in self.asset_refs:
+            return [("image", self.asset_refs[src], alt)]
+        found = self.load(src)
+        if isinstance(found, str):
+            self.warn(found, f"image {src} was not loaded" if src else "an image has no source")
+            return [("paragraph", [("text", alt)])] if alt else []
+        media_type, extension, data = found
+        n = within("assets", len(self.assets) + 1, self.limits.assets)
+        self.asset_bytes = within("asset_bytes", self.asset_bytes + len(data), self.limits.input_bytes)
+        self.assets.append(Asset(f"html-image-{n:03d}", f"image-{n:03d}.{extension}", media_type, data))
+        return [("image", f"html-image-{n:03d}", alt)]
+
+    def load(self, src: str) -> tuple[str, str, bytes] | str:
+        """(media type, extension, bytes), or the code of the warning. Nothing outside the file's own folder is read."""
+        if src[:5].lower() == "data:":
+            return data_image(src)
+        try:
+            url = urls.join(None, src)
+        except ValueError:
+            if not src or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", src):
+                return "invalid_asset_skipped"
+            if src.startswith("//"):
+                return "external_asset_skipped"
+            try:
+                url = urls.join(self.base or self.file_url, src)
+            except ValueError:
+                return "invalid_asset_skipped"
+        if url.scheme != "file":
+            return "external_asset_skipped"
+        path = os.path.realpath(unquote(url.path))
+        if url.host or self.folder is None or not os.path.exists(path):
+            return "invalid_asset_skipped"
+        if not path.startswith(self.folder.rstrip("/") + "/"):
+            return "external_asset_skipped"
+        extension = {"jpeg": "jpg"}.get(kind := os.path.splitext(path)[1][1:].lower(), kind)
+        if extension not in IMAGE_TYPES or not os.path.isfile(path):
+            return "invalid_asset_skipped"
+        within("asset_bytes", self.asset_bytes + os.path.getsize(path), self.limits.input_bytes)
+        try:
+            with open(path, "rb") as f:
+                return IMAGE_TYPES[extension], extension, f.read()
+        except OSError:
+            return "invalid_asset_skipped"
 
     # inlines
 
@@ -490,7 +605,7 @@ class Converter:
                 if c.name == "a":
                     href = c.attrs.get("href", "").strip()
                     if href and unsafe(href):
-                        self.warnings.append(("invalid_link_skipped", f"link {href[:80]} is not safe"))
+                        self.warn("invalid_link_skipped", f"link {href} is not safe")
                     elif href and body:
                         wrapped = [("link", self.resolve(href), c.attrs.get("title", "").strip() or None, body)]
                 elif body:

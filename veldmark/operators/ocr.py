@@ -49,3 +49,19 @@ def lines(words: DataFrame) -> DataFrame:
         "doc_id", F.when(F.col("failed"), "error").otherwise("ok").alias("status"), F.when(F.col("failed"), "recognition_failed").alias("error_code"),
         *(F.when(~F.col("failed"), F.col(c)).alias(c) for c in fields),
     )
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """Recognised lines (doc_id, text, confidence, left, top, width, height as shares of the image) in order, or one failed row a document.
+
+    A line has text, a confidence from 0 to 1 and a box inside the unit square.
+    """
+    number = lambda c: F.col(c).cast("double")
+    unit = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(number(c)) & (number(c) >= 0) & (number(c) <= 1) for c in ("confidence", "left", "top", "width", "height")])
+    inside = (F.col("width") > 0) & (F.col("height") > 0) & (number("left") + number("width") <= 1 + 1e-6) & (number("top") + number("height") <= 1 + 1e-6)
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    rows = found.withColumn("__bad", ~F.coalesce(unit & inside & (text != ""), F.lit(False)))
+    image = Window.partitionBy("doc_id")
+    placed = rows.withColumn("__failed", F.max("__bad").over(image)).withColumn("position", F.row_number().over(image.orderBy("top", "left", "text")))
+    keep = [F.when(~F.col("__failed"), F.col(c)).alias(c) for c in ("position", "text", "confidence", "left", "top", "width", "height")]
+    return placed.where(~F.col("__failed") | (F.col("position") == 1)).select("doc_id", F.when(F.col("__failed"), "error").otherwise("ok").alias("status"), F.when(F.col("__failed"), "recognition_failed").alias("error_code"), *keep)
