@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -18,23 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The session's ``spark.checkpoint.dir`` is used as it is. Only where it is unset (tests on one
-    machine) a folder of our own is made and set.
+    The session's ``spark.checkpoint.dir`` is used as it is. Only where it is unset on one machine (tests) a folder of our own
+    is made and set; on a cluster that is an error, since executors do not see each other's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veldmark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage and to be read more than once."""
+    """Tables written to the shared folder, to cut lineage and to be read more than once.
+
+    Results that are not yet computed read them, so they stay until the session ends, or until `drop`.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/veldmark-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -61,7 +69,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     come in another order when a lost part of it is made again.
     """
     plan = df._jdf.queryExecution().sparkPlan().toString()
-    if re.search(r"Exchange|Join|Aggregate|Window|Sort|Sample|Limit|Pandas|Python|Arrow|ExistingRDD|InMemory", plan):
+    if re.search(r"Exchange|Join|Aggregate|Window|Sort|Sample|Limit|Pandas|Python|Arrow|ExistingRDD|InMemory(Table|Relation)", plan):
         df = Scratch(df.sparkSession, "numbered").save(df, "rows")
     return df.withColumn(name, F.monotonically_increasing_id())
 
@@ -72,10 +80,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that no plan refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it if ``df`` has such a column."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
 
 
 def default_path(name: str) -> str:

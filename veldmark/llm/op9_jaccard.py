@@ -123,7 +123,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Signer:
     """Distinct shingle hashes, set hashes, parity sketches and index entries of a batch of texts."""
 
-    def __init__(self, k: int, percent: int, plan: list[tuple[int, int, int]], limit: int = 500_000):
+    def __init__(self, k: int, percent: int, plan: list[tuple[int, int, int]], limit: int = 300_000):
         self.k, self.percent, self.limit, self.cache = k, percent, limit, {}
         self.starts = np.array(band_starts(percent))
         self.one, self.two, self.spare = (np.array([p[i] for p in plan]) for i in range(3))
@@ -183,6 +183,11 @@ class Signer:
         packed = np.packbits(odd, bitorder="little").tobytes()
         return [packed[a // 8 : b // 8] for a, b in zip(base, base[1:])]
 
+    @staticmethod
+    def fold(sketch: bytes) -> list[int]:
+        """The sketch as one of 512 bits, in 8 numbers."""
+        return np.bitwise_xor.reduce(np.frombuffer(sketch, np.int64).reshape(-1, 8), 0).tolist()
+
     def sign(self, texts: list[str]) -> dict:
         owner, code = self.sets(texts)
         n = len(texts)
@@ -202,15 +207,15 @@ class Signer:
         return {"size": size, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": sketch, "owner": np.concatenate([a[0], b[0]]), "entry": np.concatenate([a[1], b[1]])}
 
 
-INDEX = "part long, kind int, row long, doc_id long, n long, s1 long, s2 long, sketch binary, keys binary, rows binary"
-FOUND = "row long, doc_id long, n long, s1 long, s2 long, sketch binary, entry long"
+INDEX = "part long, kind int, row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, keys binary, rows binary"
+FOUND = "row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, entry long"
 
 
 def frame(**columns) -> pd.DataFrame:
     size = max(len(v) for v in columns.values() if not np.isscalar(v))
     out = pd.DataFrame(index=range(size))
     for name in [x.split()[0] for x in INDEX.split(", ")]:
-        out[name] = columns.get(name, pd.array([None] * size, dtype="object" if name in ("sketch", "keys", "rows") else "Int64"))
+        out[name] = columns.get(name, pd.array([None] * size, dtype="object" if name in ("sketch", "folded", "keys", "rows") else "Int64"))
     return out
 
 
@@ -251,7 +256,8 @@ def meetings(frames):
         return None
 
     def shaped(x):
-        return x.reindex(columns=[c.split()[0] for c in FOUND.split(", ")])
+        out = x.reindex(columns=[c.split()[0] for c in FOUND.split(", ")])
+        return out if "sketch" in x else out.assign(sketch=None, folded=None)
 
     for pdf in frames:
         texts = pdf[pdf["kind"] == 0]
@@ -298,7 +304,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for pdf in common.batches(frames, 1000, 2_000_000):
             x, row = signer.sign(pdf["text"].fillna("").tolist()), pdf["row"].to_numpy()
             place = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            yield frame(part=place, kind=0, row=row, doc_id=pdf["doc_id"].astype("Int64").array, n=x["size"], s1=x["s1"], s2=x["s2"], sketch=x["sketch"])
+            yield frame(part=place, kind=0, row=row, doc_id=pdf["doc_id"].astype("Int64").array, n=x["size"], s1=x["s1"], s2=x["s2"], sketch=x["sketch"], folded=list(map(Signer.fold, x["sketch"])))
             e = x["entry"]
             part = ((e >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             held.append(((part << np.uint64(40)) | (e & np.uint64(LOW)), row[x["owner"]]))
@@ -313,10 +319,18 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return signed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(meetings, FOUND)
 
 
+def possible(percent: int, a: str, b: str) -> F.Column:
+    """Sizes and short sketches (structs of n and folded) allow the similarity; a condition of joins."""
+    n, m = F.col(a)["n"], F.col(b)["n"]
+    differ = sum((F.bit_count(F.col(a)["folded"][i].bitwiseXOR(F.col(b)["folded"][i])) for i in range(8)), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+
+
 def plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow; both bounds are exact."""
-    a, b = (info.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    x, y = (info.select(F.col("row").alias(c), F.struct("n", "folded").alias(f"f{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    p = pairs.join(x, "a").alias("p")
+    both = p.join(y.alias("q"), (F.col("p.b") == F.col("q.b")) & possible(percent, "fa", "fb")).select("a", "p.b", "na", "nb", "sa", "sb")
 
     def run(frames):
         for pdf in frames:
@@ -331,7 +345,7 @@ def plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
                 keep[i] = (x ^ int.from_bytes(s, "little")).bit_count() * (100 + percent) <= (100 - percent) * (n + m)
             yield pdf.loc[keep, ["a", "b"]]
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, "a long, b long")
+    return both.mapInPandas(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -369,12 +383,15 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
     """
     scratch = common.Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(index(docs, k, percent), "index")
-    info = found.where("entry is null").select("row", "doc_id", "n", "s1", "s2", "sketch")
+    info = found.where("entry is null").select("row", "doc_id", "n", "s1", "s2", "sketch", "folded")
     same = scratch.save(info.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep")), "same")
-    of = scratch.save(info.drop("sketch").join(same, ["s1", "s2", "n"], "left").select("row", "doc_id", "n", "rep"), "of")
+    of = scratch.save(info.drop("sketch", "folded").join(same, ["s1", "s2", "n"], "left").select("row", "doc_id", "n", "rep"), "of")
     met = found.where("entry is not null").select("entry", "row").join(of.select("row", "rep"), "row")
     met = scratch.save(met.select("entry", F.col("rep").alias("node")).distinct(), "met")
-    several = met.groupBy("entry").agg(F.min("node").alias("rep"), F.max("node").alias("high")).where("rep <> high").select("entry", "rep")
+    # entries of the same sets say the same: one of them stays
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    several = met.groupBy("entry").agg(F.min("node").alias("rep"), F.max("node").alias("high"), F.count("*").alias("size"), *marks).where("rep <> high")
+    several = several.groupBy("size", "x0", "x1").agg(F.min("entry").alias("entry"), F.min("rep").alias("rep")).select("entry", "rep", "size")
     members = scratch.save(met.join(several, "entry"), "members")
     scratch.drop(met)
     texts = docs.select("row", F.coalesce("text", F.lit("")).alias("text"))
@@ -384,12 +401,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
         return scratch.save(verify(allowed, texts, k, percent), "links")
 
     links = linked(members.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    members = members.where("size > 2").select("entry", "node")
     for turn in range(1, rounds + 1):
         groups = scratch.save(common.connected_components(links, scratch), "components")
         named = members.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("entry", "node", F.coalesce("component", "node").alias("c"))
         mixed = named.groupBy("entry").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("entry")
         open_ = scratch.save(named.join(mixed, "entry"), "open")
-        scratch.drop(members)
         members = open_
         if open_.isEmpty():
             break
@@ -399,11 +416,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
             pairs = open_.join(reps, "entry").where("c <> rep.c").select(F.col("rep.node").alias("a"), F.col("node").alias("b"))
             links = links.unionAll(linked(pairs))
         else:
-            sized = scratch.save(open_.join(info.select(F.col("row").alias("node"), "n"), "node").withColumn("step", F.floor(F.log("n") / math.log(100 / percent))), "sized")
-            steps = sized.select("entry", "node", "c", "n", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+            sized = open_.join(info.select(F.col("row").alias("node"), F.struct("n", "folded").alias("f")), "node")
+            sized = scratch.save(sized.withColumn("step", F.floor(F.log("f.n") / math.log(100 / percent))), "sized")
+            steps = sized.select("entry", "node", "c", "f", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
             x, y = sized.alias("x"), steps.alias("y")
             meet = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.c") != F.col("y.c"))
-            meet &= (F.col("x.node") != F.col("y.node")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+            meet &= (F.col("x.node") != F.col("y.node")) & possible(percent, "x.f", "y.f")
             pairs = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
             links = links.unionAll(linked(pairs))
             groups = scratch.save(common.connected_components(links, scratch), "components")
