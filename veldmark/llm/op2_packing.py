@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def cut(frames):
         words, seen = tokens.cache(path, True), Counter()
         end = np.array([end_id], dtype="<u4").tobytes()
-        for pdf in common.batches(frames, 5000, 8_000_000):
+        for pdf in common.batches(frames, 2500, 4_000_000):
             out = []
             for row, doc, data in zip(pdf["row"], pdf["doc_id"], words.encode(pdf["text"].fillna("").tolist())):
                 data += end

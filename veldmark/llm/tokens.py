@@ -3,7 +3,7 @@
 Most of the library's time goes into words that it has already seen. A text is therefore cut at
 single spaces between two characters that are not white space. There both vocabularies here always
 end one pre-token and start the next, so encoding the parts gives the ids of the whole
-(tests/llm/test_tokens.py compares the two on random texts).
+(tests/llm/test_ops.py compares the two on random texts).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ _SHAPE = re.compile(f"({_LETTERS})([.,]+)?(?:(\n)({_LETTERS}))?")
 class WordCache:
     """bytes of little-endian uint32 ids for texts. At most ``limit`` words are kept, then it starts anew."""
 
-    def __init__(self, path: str, leading_space: bool, limit: int = 1_200_000):
+    def __init__(self, path: str, leading_space: bool, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
