@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from veldmark.llm import common
 
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+BEGIN, END = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 #: A telling name from its keyword on; what is before the keyword can have any length.
 NAME = re.compile(r"(?:[Pp]assw(?:or)?d|PASSW(?:OR)?D|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_?KEY|[Aa]ccess[_-]?[Kk]ey|[Cc]redential)[\w-]*+")
 BEFORE_NAME = re.compile(r"[\w.-]")
@@ -54,7 +54,7 @@ def coverage(value: str) -> float:
 
 def features(value: str, before: str, after: str) -> list[float]:
     n = len(value)
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value[:400]]
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     m = max(1, len(kinds))
     counts = {c: value.count(c) for c in set(value)}
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
@@ -72,9 +72,18 @@ def features(value: str, before: str, after: str) -> list[float]:
     ]
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """From each beginning to the next end; a beginning without an end is none, and no part of a text is read twice."""
+    out, at = [], 0
+    while (begin := BEGIN.search(text, at)) and (end := END.search(text, begin.end())):
+        at = end.end()
+        out.append((begin.start(), at))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans by start, longer ones first. A quoted value with blanks or marks is a candidate besides what is in it."""
-    found, covered = set(), [*(m.span() for m in BLOCK.finditer(text))]
+    found, covered = set(), key_blocks(text)
     found.update(covered)
     for lo, hi in gaps(covered, len(text)):
         at = lo
@@ -248,42 +257,50 @@ def train(findings: list[tuple[str, int]] | None = None) -> Forest:
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
+def judge(forest: Forest, threshold: float, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(number of candidates, spans of the secrets) of each text."""
+    found, x = [], []
+    for text in texts:
+        spans = candidates(text) if isinstance(text, str) else []
+        found.append(spans)
+        x += [around(text, a, b) for a, b in spans]
+    p, at, out = forest.predict(np.array(x)) if x else [], 0, []
+    for spans in found:
+        out.append((len(spans), outermost([s for s, v in zip(spans, p[at : at + len(spans)]) if v >= threshold])))
+        at += len(spans)
+    return out
+
+
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
-    """``docs`` (any columns, with text) and n_candidates and secrets (start and end of each, in code points)."""
+    """``docs`` (any columns, with text) with ``__candidates`` and ``__secrets`` (start and end of each, in code points).
+
+    Columns of ``docs`` with these two names are replaced. An empty table gives an empty one.
+    """
+    docs = docs.drop("__candidates", "__secrets")
     held = docs.sparkSession.sparkContext.broadcast(forest or train())
 
     def run(frames):
-        for pdf in frames:
-            found, x = [], []
-            for text in pdf["text"]:
-                spans = candidates(text) if text else []
-                found.append(spans)
-                x += [around(text, a, b) for a, b in spans]
-            p, at, out = held.value.predict(np.array(x)) if x else [], 0, []
-            for spans in found:
-                taken = outermost([s for s, v in zip(spans, p[at : at + len(spans)]) if v >= threshold])
-                out.append([{"start": a, "end": b} for a, b in taken])
-                at += len(spans)
-            yield pdf.assign(__candidates=[len(s) for s in found], __secrets=out)
+        for pdf in common.batches(frames):
+            found = judge(held.value, threshold, pdf["text"].tolist())
+            yield pdf.assign(__candidates=[n for n, _ in found], __secrets=[[{"start": a, "end": b} for a, b in spans] for _, spans in found])
 
     return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField("__candidates", LongType()), StructField("__secrets", SPANS)]))
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in text replaced by ``mark``; all rows and columns stay."""
-    held = docs.sparkSession.sparkContext.broadcast((forest or train(), mark))
-    inner = scan(docs, held.value[0], threshold)
+    held = docs.sparkSession.sparkContext.broadcast(forest or train())
 
     def run(frames):
-        for pdf in frames:
+        for pdf in common.batches(frames):
             out = []
-            for text, spans in zip(pdf["text"], pdf["__secrets"]):
-                for s in reversed(spans):
-                    text = text[: s["start"]] + mark + text[s["end"] :]
+            for text, (_, spans) in zip(pdf["text"], judge(held.value, threshold, pdf["text"].tolist())):
+                for a, b in reversed(spans):
+                    text = text[:a] + mark + text[b:]
                 out.append(text)
-            yield pdf.assign(text=out).drop(columns=["__candidates", "__secrets"])
+            yield pdf.assign(text=out)
 
-    return inner.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(run, docs.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
