@@ -6,13 +6,15 @@ Leaves are ranked by the sum of the scores on their path, and every chosen path
 conversation with a loss mask over the assistants' texts.
 
 Template: ``### <Role>: <text></turn>`` and a line feed for each turn. Inside texts and roles a
-backslash is doubled, and ``###`` and ``</turn>`` are broken by one (``#\\##``, ``<\\/turn>``), so neither mark
-occurs in an escaped text; roles that the template does not name are written as ``=role``. So neither mark can be forged, and dropping the first of every backslash and its follower undoes it.
+backslash is doubled, every ``#`` after another has one before it and ``</turn>`` is broken by one (``#\\#\\#``, ``<\\/turn>``), so no two ``#`` stand
+side by side in an escaped text and neither mark can be forged; roles that the template does not name are written as ``=role``. Dropping the
+backslash of every backslash and its follower undoes it.
 
 Nulls: a null tree is a tree like any other, a null role or text is empty, a null score counts 0, a parent that does
 not exist makes its message a root. Messages on a cycle of parents have no root and are left out.
-Ties between leaves go to the longer path, then to the smaller id. A repeated (tree, id) is the caller's error;
-`from_turns` makes ids from the order of the rows, so repeated turns stay turns of their own there.
+Ties between leaves go to the longer path, then to the smaller id. Of several messages with one (tree, id) the smallest by (parent, role,
+text, score) stays, nulls first; `from_turns` makes ids from the order of the rows, so repeated turns stay turns of their own there. An empty
+table gives no conversations; a score that is not a number counts 0; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ FORMATTED = "tree long, branch int, n_turns long, formatted string, loss_mask ar
 
 
 def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("###", "#\\##").replace("</turn>", "<\\/turn>")
+    return re.sub(r"(?<=#)#", r"\\#", text.replace("\\", "\\\\")).replace("</turn>", "<\\/turn>")
 
 
 def unescape(text: str) -> str:
@@ -73,7 +75,8 @@ def from_turns(conversations: DataFrame) -> DataFrame:
 
 def paths(messages: DataFrame, branches: int, scratch: common.Scratch) -> DataFrame:
     """(tree, branch, id, back): the messages of the ``branches`` best paths of each tree, ``back`` steps before the leaf."""
-    rows = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    score = F.when(F.isnan(F.col("score").cast("double")), 0.0).otherwise(F.coalesce(F.col("score").cast("double"), F.lit(0.0)))
+    rows = messages.select("tree", "id", "parent", score.alias("score"))
     ids = rows.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.lit(True).alias("there"))
     first = rows.join(ids, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("i")), "left").select(
         "tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"), F.col("score").cast("double").alias("total")
@@ -104,9 +107,16 @@ def paths(messages: DataFrame, branches: int, scratch: common.Scratch) -> DataFr
     return members
 
 
-def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """One row for each chosen path: tree, branch (1 is best), n_turns, formatted, loss_mask."""
+def format_trees(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
+    """One row for each chosen path: tree, branch (1 is best), n_turns, formatted, loss_mask.
+
+    ``unique``: no (tree, id) comes twice, as in what `from_turns` gives.
+    """
     scratch = common.Scratch(messages.sparkSession, "chat")
+    messages = messages.select(F.col("tree").cast("long").alias("tree"), F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("parent"), "role", "text", "score")
+    if not unique:
+        messages = messages.groupBy("tree", "id").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "id", "m.*")
+    messages = scratch.save(messages, "messages")
     members = paths(messages, branches, scratch).select(F.col("tree").alias("t"), F.col("id").alias("i"), "branch", "back")
     full = messages.join(members, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")))
     turns = full.groupBy("tree", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
@@ -146,4 +156,4 @@ PLANTED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant",
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
-    return digest(format_trees(from_turns(turns.unionByName(more))))
+    return digest(format_trees(from_turns(turns.unionByName(more)), unique=True))
