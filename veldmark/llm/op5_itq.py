@@ -10,7 +10,7 @@ precision. Equal vectors are one node; their copies are counted, not paired.
 Vectors of each length have a rotation and tables of their own. The sample has at most ``sample`` vectors of a length, the
 first by a hash; all vectors are coded and looked up. Recall is measured against brute force in tests/llm/test_op5.py (0.9 is asked for).
 Vectors that are null, zero or hold null or non-finite components, and rows without
-label, link with nothing.
+label, link with nothing. An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from veldmark.llm import common
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) such that the signs of ``(x - mean) @ projection`` are balanced codes."""
     mean = x.mean(0)
-    values, vectors = np.linalg.eigh(np.cov((x - mean).T) + 1e-12 * np.eye(x.shape[1]))
+    spread = np.atleast_2d(np.cov((x - mean).T)) if len(x) > 1 else np.zeros((x.shape[1],) * 2)
+    values, vectors = np.linalg.eigh(spread + 1e-12 * np.eye(x.shape[1]))
     axes = vectors[:, np.argsort(-values)[: min(bits, x.shape[1])]]
     v = (x - mean) @ axes
     r, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(v.shape[1], v.shape[1])))
@@ -96,7 +97,8 @@ def near_pairs(nodes: DataFrame, threshold: float, bits: int, tables: int, sampl
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bits: int = 64, tables: int = 4, sample: int = 20_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label)."""
     scratch = common.Scratch(vectors.sparkSession, "itq")
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.expr("transform(embedding, x -> double(x) + 0D)").alias("embedding"))
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.expr("transform(embedding, x -> double(x) + 0D)").alias("embedding"))
+    rows = common.numbered(base, "row")
     fine = usable(rows)
     nodes = fine.groupBy("label", "embedding").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     nodes = scratch.save(nodes.withColumnRenamed("embedding", "vector"), "nodes")
