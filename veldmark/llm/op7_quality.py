@@ -10,7 +10,8 @@ documents of its language; a tenth of these, by a hash, is kept out of the count
 A null language is one of its own. Null and empty texts have no n-grams, a null perplexity, and are kept, as is
 every document of a language without trusted text. A language whose trusted documents all miss the held-out tenth (likely
 below about 20 of them) has a null threshold, and all its documents are kept too: it is not filtered. With few held-out
-documents the quantile is their maximum. Copies and repeated rows are scored alike.
+documents the quantile is their maximum. Copies and repeated rows are scored alike. An empty table, or one of empty texts, gives its rows
+with null perplexities; further columns are not read.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def count(docs: DataFrame, order: int) -> DataFrame:
         task, found = TaskContext.get().partitionId(), {}
 
         def rows():
-            for lang, known in found.items():
+            for lang, known in [(lang, known) for lang, known in found.items() if known]:
                 yield pd.DataFrame({"task": np.full(len(known), task, "int32"), "lang": lang, "g": list(known), "n": list(known.values())})
 
         for pdf in common.batches(frames, 10_000, 1_200_000):
@@ -124,12 +125,14 @@ def score(docs: DataFrame, order: int, folder: str) -> DataFrame:
         for pdf in common.batches(frames, 10_000, 1_200_000):
             if tables is None:
                 system, local = fs.FileSystem.from_uri(f"{folder}/task={task}")
-                table = pq.ParquetDataset(local, filesystem=system, partitioning=None).read(columns=["lang", "g", "logp"]).to_pandas()
-                tables = {lang: dict(zip(part["g"], part["logp"])) for lang, part in table.groupby("lang")}
+                tables = {}
+                if system.get_file_info(local).type != fs.FileType.NotFound:  # a task of empty texts has no n-grams
+                    table = pq.ParquetDataset(local, filesystem=system, partitioning=None).read(columns=["lang", "g", "logp"]).to_pandas()
+                    tables = {lang: dict(zip(part["g"], part["logp"])) for lang, part in table.groupby("lang")}
             total, n = np.full(len(pdf), np.nan), np.zeros(len(pdf), np.int64)
             place = pd.Series(np.arange(len(pdf)), index=pdf.index)
             for lang, part in _by_language(pdf):
-                known = tables[lang]
+                known = tables.get(lang, {})  # none if all texts here are empty
                 joined, _, first, inverse, sizes = grams(part["text"].tolist(), order)
                 logp = np.array([known[joined[i : i + order]] for i in first.tolist()])
                 sums = np.concatenate([[0], np.cumsum(logp[inverse])])[np.concatenate([[0], np.cumsum(sizes)])]
@@ -144,12 +147,14 @@ def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: f
     """(doc_id, lang, n_grams, perplexity, threshold, keep) for ``docs`` (doc_id, text, lang); ``trusted``: doc_id of trusted documents."""
     scratch = common.Scratch(docs.sparkSession, "quality")
     ids = trusted.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct().withColumn("t", F.lit(True))
-    if trusted.count() <= BROADCAST_LABELS:
-        ids = F.broadcast(ids)
+    small = trusted.count() <= BROADCAST_LABELS
+    ids = F.broadcast(ids) if small else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
     rows = rows.join(ids, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "text", "lang", F.expr("t is not null and pmod(xxhash64(doc_id), 10) > 0").alias("trusted"), F.expr("t is not null and pmod(xxhash64(doc_id), 10) = 0").alias("held")
     )
+    if not small:
+        rows = scratch.save(rows, "rows")  # the partitions of a shuffle may differ from one plan to the next
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.coalesce(max(1, -(-size // TASK_BYTES)))  # large tasks: fewer tables of mostly the same n-grams
     made = scratch.save(count(rows, order), "counts")
