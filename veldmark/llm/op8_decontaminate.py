@@ -7,7 +7,8 @@ blocks of that length. A hit is then compared word by word with the window it st
 
 The table grows with the benchmark, not with the documents; it is broadcast up to ``BROADCAST_ROWS`` rows and
 joined by a shuffle beyond. Null texts have no words, an item without words has no window, repeated
-documents are judged one by one, and an empty benchmark contaminates nothing.
+documents are judged one by one, and an empty benchmark contaminates nothing. An empty table stays empty; further columns stay, but one named
+``__row`` is replaced.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     In spans mode each removed word goes with the separators after it; what is left is unchanged.
     """
-    with_row = docs.withColumn("__row", F.monotonically_increasing_id())
+    with_row = common.numbered(docs, "__row")
     found = annotate(with_row.select(F.col("__row").alias("row"), "doc_id", "text"), benchmark, window)
     if remove == "documents":
         bad = found.where("contaminated").select(F.col("row").alias("__row"))
