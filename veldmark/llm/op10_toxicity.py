@@ -6,7 +6,7 @@ Each word is a string ``^word$``. Its features are the ordered triples of charac
 features. A machine with squared hinge loss is fitted on Nyström features (kernels with the
 landmarks, whitened by the landmarks' own kernel matrix). As that kernel is a product, the fitted
 function folds, without approximation, into one weight for each triple that occurs in a landmark
-(triples are numbered by a hash of 20 bits), so scoring costs one look-up a triple and not one kernel a landmark.
+(triples are numbered by a hash of 20 bits, so two may share a weight), so scoring costs one look-up a triple and not one kernel a landmark.
 
 Training sentences are words of labelled documents: what toxic documents repeat and clean ones
 lack, against words of clean documents. Then two rounds add the clean words that score worst and drop the toxic ones that
@@ -15,7 +15,8 @@ Only the text is ever an input; labels are used in fitting alone.
 
 At most ``max_docs`` labelled documents of each class, the first by a hash of doc_id, are used in the fit;
 all documents are scored over their whole texts. Null and empty texts get the score of a text without
-words. Without labels of both classes every score is 0. Repeated rows get equal scores.
+words. Without labels of both classes every score is 0. Repeated rows get equal scores; of several rows with one doc_id the smallest text is
+learned from. An empty table stays empty, and further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,11 +149,13 @@ class Model:
 
     def best_two(self, texts: list[str], cache: dict[str, float], limit: int = 400_000) -> np.ndarray:
         """The two largest margins of words of each text."""
-        sets = [tokens(t) for t in texts]
+        return self.best_of([tokens(t) for t in texts], cache, limit)
+
+    def best_of(self, sets: list[set[str]], cache: dict[str, float], limit: int = 400_000) -> np.ndarray:
         if len(cache) > limit:
             cache.clear()
         self.learn_words(list(set().union(*sets) - cache.keys()), cache)
-        out = np.full((len(texts), 2), -2.0)
+        out = np.full((len(sets), 2), -2.0)
         for i, s in enumerate(sets):
             two = sorted([cache[t] for t in s], reverse=True)[:2]
             out[i, : len(two)] = two
@@ -162,12 +165,13 @@ class Model:
         return 1 / (1 + np.exp(-(best @ self.logit[1:] + self.logit[0])))
 
 
-def fit(texts: list[str], labels: np.ndarray, n_landmarks: int = 192, seed: int = 7) -> Model | None:
-    """Fit on labelled texts (1 is toxic)."""
+def fit(texts: list[str] | list[set[str]], labels: np.ndarray, n_landmarks: int = 192, seed: int = 7) -> Model | None:
+    """Fit on labelled texts, or on their `tokens` (1 is toxic)."""
+    texts = [tokens(t) if isinstance(t, str) else t for t in texts]
     rng, order = np.random.default_rng(seed), np.argsort(-labels, kind="stable")
     bad, good, seen = Counter(), Counter(), set()
     for i in order:
-        words = {p for t in tokens(texts[i]) for p in parts(t)}
+        words = {p for t in texts[i] for p in parts(t)}
         if labels[i]:
             low = [min((hash_of(w, k) for w in words), default=k) for k in range(20)]
             marks = {tuple(low[k::4]) + (k,) for k in range(4)}
@@ -211,7 +215,7 @@ def fit(texts: list[str], labels: np.ndarray, n_landmarks: int = 192, seed: int
         hard = model.margins(clean)
         worst = [clean[i] for i in np.argsort(-hard, kind="stable")[:3000]]
         negatives = list(dict.fromkeys(negatives + worst))
-    best = model.best_two(texts, {})
+    best = model.best_of(texts, {})
     x = np.hstack([np.ones((len(best), 1)), best])
     w = np.array([0.0, 1.0, 0.0])
     share = np.ones(len(labels))
@@ -236,32 +240,34 @@ def hash_of(word: str, seed: int) -> int:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Model | None:
     """Fit on at most ``max_docs`` labelled documents of each class, the first by a hash of doc_id."""
     named = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = []
+    base, words, classes, same = docs.select("doc_id", "text"), [], [], {}
     for value in (0, 1):
         ids = named.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-        rows += docs.join(F.broadcast(ids), "doc_id").where("text is not null").select("doc_id", F.col("text").alias("text"), "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    if not rows:
-        return None
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], float))
+        rows = base.join(F.broadcast(ids.select("doc_id")), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
+        for r in rows.toLocalIterator():  # a partition of texts at a time; their distinct words are kept
+            words.append({same.setdefault(t, t) for t in tokens(r["text"])})
+            classes.append(value)
+    return fit(words, np.array(classes, float)) if words else None
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` (with a column text) and a column score."""
+def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """``docs`` (with a column text) and the score as a column ``name``, which replaces one of that name."""
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a table of 4 MB
 
     def run(frames):
         m, cache = held.value, {}
-        for pdf in frames:
+        for pdf in common.batches(frames):
             out = np.zeros(len(pdf))
             if m is not None:
                 texts = pdf["text"].fillna("").tolist()
                 for a in range(0, len(texts), 500):
                     out[a : a + 500] = m.score(m.best_two(texts[a : a + 500], cache))
-            yield pdf.assign(score=out)
+            yield pdf.assign(**{name: out})
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 HELD_OUT = "crc32(coalesce(cast(doc_id as string), '')) % 5 = 0"
