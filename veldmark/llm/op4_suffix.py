@@ -260,7 +260,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 50) -> DataFrame
     else:  # an order number for each row, by one range shuffle
         rows = scratch.save(base.withColumn("r", F.monotonically_increasing_id()).repartitionByRange("doc_id", "r").sortWithinPartitions("doc_id", "r").withColumn("doc", F.monotonically_increasing_id()).drop("r"), "ordered")
     marks = scratch.save(repeated(rows.select("doc", "text"), length, k, scratch).groupBy("doc").agg(F.collect_list(F.struct("pos", "size")).alias("marks")), "marks")
-    common.release(spark)
     full = rows.join(marks, "doc", "left")
 
     def cut(frames):
