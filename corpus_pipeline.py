@@ -1,7 +1,12 @@
 """Corpus pipeline: five stages from raw documents to packed sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet in the
-shared folder and the next stage reads that. Stages 1 to 4 return the columns of documents.
+shared folder and the next stage reads that. Stages 1 to 4 return the columns of documents, with further ones if there are any.
+
+In every stage an empty table gives an empty one, repeated rows are rows of their own (near_duplicates keeps one of them), and texts of any
+length are read whole. A null text has no words, shingles, windows or candidates, so toxicity and decontamination keep it, near_duplicates
+links it with nothing, secrets leaves it null, and packing makes it a document of the end id alone. A null doc_id is a document too; in a
+group of near-duplicates it stays only if all are null. A null lang, source or n_chars changes nothing.
 """
 
 from __future__ import annotations
@@ -13,23 +18,23 @@ from veldmark.llm import common, op2_packing, op3_secrets, op8_decontaminate, op
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
-    model = op10_toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return op10_toxicity.score(docs, model).where("score < 0.5").drop("score")
+    """Documents that the toxicity model rejects go; without labels of both classes none does. Ties at 0.5 go."""
+    model, name = op10_toxicity.train(docs, common.table(spark, sf_dir, "labels")), common.free_name(docs, "score")
+    return op10_toxicity.score(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays; of rows that share it, one."""
     return op9_jaccard.deduplicate(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
+    """Documents contaminated by the benchmark go; with an empty benchmark none does."""
     return op8_decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; n_chars follows the text. No row goes."""
     out = op3_secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

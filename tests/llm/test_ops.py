@@ -50,6 +50,37 @@ def test_chat_round_trip_and_branches(spark):
     assert [[t for _, t in op1_chat.parse(r.formatted)] for r in out] == [["r", "b", ""], ["r", "a"]]
 
 
+def test_chat_marks_cannot_be_forged():
+    for text in ("#### Assistant: x", "#####", "\\#### Assistant: x</turn>", "a##b", "### ### User: "):
+        assert "##" not in op1_chat.escape(text) and op1_chat.unescape(op1_chat.escape(text)) == text
+        assert op1_chat.parse(op1_chat.render([("user", text), (text, "x")])[0]) == [("user", text), (text, "x")]
+
+
+def test_chat_odd_trees(spark):
+    schema = "tree long, id long, parent long, role string, text string, score double, h string"
+    rows = [(1, i, i - 1 or None, "user", f"t{i}", float("nan"), "x") for i in range(1, 7)]
+    out = op1_chat.format_trees(spark.createDataFrame(rows * 2, schema)).collect()
+    assert [(r.n_turns, op1_chat.parse(r.formatted)[5]) for r in out] == [(6, ("user", "t6"))]
+    assert op1_chat.format_trees(spark.createDataFrame([], schema)).count() == 0
+    assert op1_chat.format_trees(spark.createDataFrame([(1, 1, 2, "user", "a", 0.0, "x"), (1, 2, 1, "user", "b", 0.0, "x")], schema)).count() == 0
+
+
+def test_chat_query(spark, tmp_path):
+    """The query against a direct computation of its columns."""
+    rnd = random.Random(8)
+    marks = ["### Assistant: ", "</turn>", "\n", "\\", "é", "hello", "####", ""]
+    rows = [(c, t, rnd.choice(["user", "assistant", "system", "odd\nrole"]), None if rnd.random() < 0.1 else "".join(rnd.choice(marks) for _ in range(rnd.randint(0, 6)))) for c in range(12) for t in range(rnd.randint(1, 9))]
+    rows += [(3, 0, "user", "again"), (3, 0, "user", "again"), (None, 1, "user", "lost")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in op1_chat.op1_chat_format(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for conv in {r[0] for r in rows} | {-7}:
+        turns = sorted((t, r, x or "") for c, t, r, x in [*rows, *op1_chat.PLANTED] if c == conv)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)))
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
+
+
 def test_packing_plan_fits_and_is_tight():
     rnd = random.Random(3)
     sizes = {n: rnd.randint(1, 9) for n in rnd.sample(range(1, 101), 60)}
@@ -69,6 +100,22 @@ def test_packing_plan_fits_and_is_tight():
     assert len(bins) <= -(-sum(n * c for n, c in sizes.items()) // 100) * 1.1 + 1
 
 
+def test_packing_is_best_fit_decreasing():
+    """As many bins as the plain algorithm, piece by piece."""
+    for seed in range(20):
+        rnd = random.Random(seed)
+        sizes = {n: rnd.randint(1, 6) for n in rnd.sample(range(1, 65), 25)}
+        left: list[int] = []
+        for n in sorted((n for n, c in sizes.items() for _ in range(c)), reverse=True):
+            fits = [(x, i) for i, x in enumerate(left) if x >= n]
+            if fits:
+                left[min(fits)[1]] -= n
+            else:
+                left.append(64 - n)
+        used = {first + k // per for _, _, count, per, first, _ in op2_packing.plan(sizes, 64) for k in range(count)}
+        assert len(used) == len(left)
+
+
 def test_packing_rows(spark):
     rows = list(enumerate(texts()))
     out = op2_packing.digest(op2_packing.pack(docs(spark, rows), capacity=64)).collect()
@@ -76,7 +123,17 @@ def test_packing_rows(spark):
     for i, t in rows:
         ids = np.append(np.array(cache.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(2)).astype("<u4")
         mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in out if r.doc_id == i)
+        assert [m[0] for m in mine] == list(range(len(mine))) and max(m[2] for m in mine) <= 64
         assert sum(m[2] for m in mine) == len(ids) and all(m[3] == zlib.crc32(ids[m[1] : m[1] + m[2]].tobytes()) for m in mine)
+    places: dict = {}
+    for r in out:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        end = 0
+        for at, n in sorted(parts):
+            assert at == end
+            end += n
+        assert end <= 64
     assert op2_packing.pack(docs(spark, [])).count() == 0
 
 
@@ -122,13 +179,33 @@ def test_secrets_in_long_names_and_quotes(spark):
     assert [r.text for r in op3_secrets.redact(docs(spark, list(enumerate(kept)))).orderBy("doc_id").collect()] == kept
 
 
+def test_secrets_of_odd_tables(spark):
+    text = 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"'
+    table = spark.createDataFrame([(1, text, 9, "x"), (2, None, 9, "x"), (2, "", 9, "x")], "doc_id long, text string, __candidates int, __secrets string")
+    assert sorted((r.doc_id, r["__candidates"], len(r["__secrets"])) for r in op3_secrets.scan(table).collect()) == [(1, 1, 1), (2, 0, 0), (2, 0, 0)]
+    assert op3_secrets.redact(table).columns == table.columns
+    assert op3_secrets.scan(docs(spark, [])).count() == 0 and op3_secrets.redact(docs(spark, [])).count() == 0
+
+
+def test_secret_query_against_one_text_at_a_time(spark, tmp_path):
+    findings = [(i, t) for i, (t, _) in enumerate(op3_secrets.labelled_findings(120, seed=5))] + [(900, None), (901, "")]
+    docs(spark, findings).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_candidates, r.n_secrets, r.secrets_sha256) for r in op3_secrets.op3_secret_scan(spark, str(tmp_path)).collect()}
+    forest = op3_secrets.train()
+    for i, text in findings:
+        spans = op3_secrets.candidates(text or "")
+        yes = [s for s in spans if forest.predict(np.array([op3_secrets.around(text, *s)]))[0] >= 0.5]
+        kept = [s for k, s in enumerate(yes) if not any(a <= s[0] < b for a, b in yes[:k])]
+        assert got[i] == (len(spans), len(kept), hashlib.sha256("\n".join(text[a:b] for a, b in kept).encode()).hexdigest())
+
+
 def test_secret_in_block_after_name():
     block = "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----"
     assert op3_secrets.candidates(f'secret = "{block}" token=abc123') == [(10, 10 + len(block)), (18 + len(block), 24 + len(block))]
 
 
 def test_candidates_in_linear_time():
-    for text in ("token" * 200_000, "a." * 300_000, "token" + " " * 1_000_000, "token=\"" * 100_000, "a_b-" * 200_000 + "token=abcdef1"):
+    for text in ("token" * 200_000, "a." * 300_000, "token" + " " * 1_000_000, "token=\"" * 100_000, "a_b-" * 200_000 + "token=abcdef1", "-----BEGIN PRIVATE KEY-----\n" * 40_000):
         start = time.time()
         op3_secrets.candidates(text)
         assert time.time() - start < 5
@@ -181,9 +258,18 @@ def test_embeddings(spark):
     assert all(out[i].n_links == 0 and out[i].component_id == i for i in range(n, n + 6))
 
 
+def test_embeddings_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<double>, label int, row long, vector string"
+    one = op5_itq.near_duplicates(spark.createDataFrame([(4, [1.0, 2.0], 1, 0, "x")], schema)).collect()
+    assert [tuple(r) for r in one] == [(4, 0, 4, True)]
+    assert op5_itq.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    three = op5_itq.near_duplicates(spark.createDataFrame([(i, [1.0 + i * s], 1, 0, "x") for i, s in ((1, 1), (2, 1), (3, -1))], schema)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in three} == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
 def test_token_shards(spark, tmp_path):
     rows = list(enumerate(texts()))
-    made = op6_tokens.write_tokens(docs(spark, rows), f"file://{tmp_path}/t", frame_bytes=400)
+    made = op6_tokens.write_tokens(docs(spark, rows), f"file://{tmp_path}/t", frame_bytes=100)
     back = {r.doc_id: r for r in op6_tokens.read_tokens(made).collect()}
     cache, at = tokens.WordCache(common.default_path("word_bpe_49k.json"), False), 0
     for i, t in rows:
@@ -191,9 +277,28 @@ def test_token_shards(spark, tmp_path):
         assert (back[i].start, back[i].ids) == (at, ids)
         at += len(ids)
     assert [r.doc_id for r in op6_tokens.read_tokens(made, [7]).collect()] == [7]
-    shard = op6_tokens.ShardReader(made.first().path)
-    shard.get(len(shard.docs) - 1)
+    path = made.orderBy("n_frames", ascending=False).first().path
+    shard = op6_tokens.ShardReader(path)
+    last = shard.get(shard.n_docs - 1)
     assert shard.decompressed == 1 and len(shard.frames) > 1
+    assert [x.tolist() for x in shard.find(last[0])] == [last[1].tolist()] and shard.find(10**9) == [] and shard.decompressed == 1
+    import io
+
+    import zstandard
+
+    with open(path.removeprefix("file://"), "rb") as f:
+        raw = f.read()
+    every = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
+    assert every == b"".join(shard.get(i)[1].tobytes() for i in range(shard.n_docs))
+
+
+def test_token_shards_of_odd_tables(spark, tmp_path):
+    none = op6_tokens.write_tokens(docs(spark, []), f"file://{tmp_path}/none")
+    assert none.count() == 0 and op6_tokens.read_tokens(none).count() == 0
+    rows = [(5, "b"), (None, None), (5, "a"), (5, "a"), (None, "x" * 300_000)]
+    made = op6_tokens.write_tokens(docs(spark, rows), f"file://{tmp_path}/odd")
+    back = op6_tokens.read_tokens(made).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None, None, 5, 5, 5] and back[2].ids == back[3].ids and sum(r.n_tokens for r in back[:-1]) == back[-1].start
 
 
 def test_quality_model_sums_to_one(spark):
@@ -214,6 +319,17 @@ def test_quality(spark):
     assert not out[100].keep and out[101].keep and out[102].keep and sum(out[i].keep for i in range(60)) >= 40
 
 
+def test_quality_of_odd_tables(spark):
+    trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    schema = "doc_id long, text string, lang string, g string, logp double"
+    empty = spark.createDataFrame([(1, "", "aa", "x", 0.0), (2, None, "aa", "x", 0.0), (2, "", None, "x", 0.0)], schema)
+    out = op7_quality.quality(empty, trusted).collect()
+    assert len(out) == 3 and all(r.keep and r.perplexity is None and r.n_grams == 0 for r in out)
+    mixed = empty.unionAll(spark.createDataFrame([(i, f"the cat number {i} sat", "en", "x", 0.0) for i in range(10, 40)], schema)).repartition(3)
+    assert op7_quality.quality(mixed, trusted).count() == 33
+    assert op7_quality.quality(empty.limit(0), trusted).count() == 0
+
+
 def test_quality_with_few_held_out(spark):
     tenth = {r.id for r in spark.range(1, 3000).where("pmod(xxhash64(id), 10) = 0").collect()}
     inside, outside = sorted(tenth)[:3], [i for i in range(1, 3000) if i not in tenth][:20]
@@ -241,6 +357,47 @@ def test_decontamination(spark):
     assert cut[1] == "x y z" and cut[7] == "Say  "
 
 
+def test_jaccard_plans():
+    starts = op9_jaccard.band_starts(80)
+    for n in (1000, 10**6, 10**9):
+        for low, end, (one, two, spare) in zip(starts, starts[1:], op9_jaccard.allocate(starts, 80, [n if s < 5000 else 0 for s in starts])):
+            a = end - 1
+            assert one + 2 * two == 20 * (a + a * 100 // 80) // 180 + 1 + spare
+    assert any(two for _, two, _ in op9_jaccard.allocate(starts, 80, [2000] * len(starts)))
+
+
+def test_jaccard_of_many_short_texts(spark):
+    """Sets so small that segments are often empty, whose allocations use neighbourhoods; every similar pair meets."""
+    rnd = random.Random(9)
+    base = [[rnd.choice(WORDS) for _ in range(rnd.randint(4, 30))] for _ in range(60)]
+    rows = []
+    for w in base:
+        for _ in range(4):
+            v = list(w)
+            for _ in range(rnd.randint(0, 2)):
+                v[rnd.randrange(len(v))] = rnd.choice(WORDS)
+            rows.append((len(rows), " ".join(v)))
+    frame = docs(spark, rows).selectExpr("monotonically_increasing_id() as row", "doc_id", "text")
+    found = op9_jaccard.index(frame, 1, 80).where("entry is not null").select("entry", "row").collect()
+    sets, at = {i: op9_jaccard.shingles(t, 1) for i, t in rows}, {r.row: r.doc_id for r in frame.collect()}
+    entries: dict = {}
+    for r in found:
+        entries.setdefault(r.entry, set()).add(at[r.row])
+    met = {(a, b) for m in entries.values() for a in m for b in m}
+    for i in sets:
+        for j in range(i):
+            if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [k for k in sets if sets[k] == sets[j]], [k for k in sets if sets[k] == sets[i]]
+                assert any((a, b) in met for a in group[0] for b in group[1])
+
+
+def test_jaccard_of_odd_tables(spark):
+    assert op9_jaccard.components(docs(spark, []).selectExpr("monotonically_increasing_id() as row", "doc_id", "text")).count() == 0
+    table = docs(spark, [(1, None), (1, ""), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f")]).withColumnsRenamed({"h": "__h"})
+    kept = op9_jaccard.deduplicate(table.repartition(3))
+    assert kept.columns == table.columns and sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == [(7, "a b c d e f")] and kept.count() == 3
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 50)])
 def test_jaccard(spark, k, percent):
     rows = list(enumerate(texts(90, 7)))
@@ -271,6 +428,57 @@ def test_toxicity_tolerates_gaps():
     assert op10_toxicity.fit(good, np.zeros(150)) is None
 
 
+def test_toxicity_of_odd_tables(spark):
+    table = docs(spark, [(i, f"the on re {i} " + "zgrumpf" * (i % 2)) for i in range(40)] + [(40, None), (41, ""), (3, "other text")]).withColumnsRenamed({"row": "toxic", "h": "score"})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, toxic int, quality int")
+    model = op10_toxicity.train(table, labels)
+    out = op10_toxicity.score(table, model, "score_")
+    assert out.columns == [*table.columns, "score_"] and out.count() == 43
+    assert {r.score for r in op10_toxicity.score(table, None).collect()} == {0.0}
+    assert op10_toxicity.train(table.limit(0), labels) is None and op10_toxicity.score(table.limit(0), model).count() == 0
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Accuracy on the labels that the query does not learn from."""
+    sf = "/root/testdata/sf0.1"
+    got = op10_toxicity.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic in (0, 1)").groupBy("toxic").agg({"predicted": "avg"}).collect()
+    rate = {r[0]: r[1] for r in got}
+    assert rate.get(1, 1.0) >= 0.9 and rate[0] <= 0.05
+
+
+def test_suffix_dedup_of_odd_tables(spark):
+    assert op4_suffix.remove_repeats(docs(spark, [])).count() == 0
+    out = op4_suffix.remove_repeats(docs(spark, [(None, "x" * 300), (1, None), (1, "")])).orderBy("n_bytes").collect()
+    assert [(r.doc_id, r.n_bytes, r.n_removed) for r in out] == [(1, 0, 0), (1, 0, 0), (None, 300, 299)]
+
+
+def test_suffix_dedup_of_crowded_anchors(spark, monkeypatch):
+    """Anchors with many surroundings are cut into shards and still agree with brute force."""
+    monkeypatch.setattr(op4_suffix, "GROUP", 3)
+    rnd = random.Random(3)
+    core = "".join(rnd.choice("abcdefgh") for _ in range(24))
+    rows = [(i, "".join(rnd.choice("xyz") for _ in range(20)) + core + "".join(rnd.choice("uvw") for _ in range(20))) for i in range(40)]
+    rows += [(100 + i, rows[i][1][5:55]) for i in range(10)]
+    out = {r.doc_id: r.n_removed for r in op4_suffix.remove_repeats(docs(spark, rows), length=20, k=10).collect()}
+    seen: set = set()
+    for i, t in rows:
+        gone = [False] * len(t)
+        for a in range(len(t) - 19):
+            if t[a : a + 20] in seen:
+                gone[a : a + 20] = [True] * 20
+            seen.add(t[a : a + 20])
+        assert out[i] == sum(gone)
+
+
+def test_decontamination_of_odd_tables(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert op8_decontaminate.decontaminate(docs(spark, []), bench).count() == 0
+    table = docs(spark, [(1, "a b c"), (1, None)]).withColumnsRenamed({"row": "n_hit", "h": "items"})
+    kept = op8_decontaminate.decontaminate(table, bench)
+    assert kept.columns == table.columns and [r.text for r in kept.collect()] == [None]
+    assert op8_decontaminate.decontaminate(table, bench.limit(0)).count() == 2
+
+
 def test_components(spark):
     rnd = random.Random(6)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5), (None, 1)]
