@@ -140,7 +140,7 @@ def test_json_keeps_numbers_and_order():
 
 
 def test_xml():
-    assert emit.markdown(structured.xml_blocks(b'<r k="v">\n <c>t</c>\n</r>')[0]) == "**r** (**k**: `v`)\n\n- **c**: t\n"
+    assert emit.markdown(structured.xml_blocks(b'<r k="v">\n <c>t</c>\n</r>')[0]) == "- **r** (**k**: `v`)\n\n  - **c**: t\n"
     for bad in (b"<!DOCTYPE r><r/>", b"<a><b></a>", b"<x:a/>"):
         with pytest.raises(structured.FormatError):
             structured.parse_xml(bad)

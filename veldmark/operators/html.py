@@ -1,33 +1,22 @@
-"""HTML to block trees: a tokenizer, tree construction with error recovery, and the conversion walk."""
+"""HTML to block trees: the conversion walk over the tree that `veldmark.operators.dom` builds."""
 
 from __future__ import annotations
 
 import base64
 import binascii
-import html as entities
 import os
 import re
 from urllib.parse import unquote, unquote_to_bytes
 
 from veldmark.functions import urls
+from veldmark.operators.dom import BLOCKS, HEADINGS, RAW, VOID, WS, Element, parse, title, tokens  # noqa: F401
 from veldmark.operators.errors import DEFAULT, Limits, within
 from veldmark.operators.model import Asset
 
-# Element groups of HTML.
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
-CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "header", "hgroup", "main", "menu", "nav", "ol", "p", "search", "section", "summary", "ul", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "listing", "form", "table", "hr", "li", "dd", "dt"}
-SCOPE = {"html", "table", "td", "th", "caption", "template", "object", "marquee", "applet"}
-HEAD_ONLY = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CLOSES_P = BLOCKS | HEADINGS | {"pre", "listing", "form", "table", "hr", "li", "dd", "dt"}
+# Elements that run with text, and elements that show nothing.
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "del", "em", "i", "ins", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u"}
 HIDDEN = {"head", "script", "style", "template", "noscript"}
-WS = " \t\n\f\r"
-
-_TOKEN = re.compile(r"<!--(?:>|->|[\s\S]*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)([^>]*)>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^a-zA-Z][^>]*(?:>|\Z)")
-_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-
 
 #: Types of images by extension.
 IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "avif": "image/avif"}
@@ -54,297 +43,6 @@ def data_image(src: str) -> tuple[str, str, bytes] | str:
     return head.strip(), extension, data
 
 
-class Element:
-    __slots__ = ("name", "attrs", "children", "parent")
-
-    def __init__(self, name: str, attrs: dict[str, str] | None = None):
-        self.name, self.attrs, self.children, self.parent = name, attrs or {}, [], None
-
-    def add(self, child):
-        if isinstance(child, str):
-            if self.children and isinstance(self.children[-1], str):
-                self.children[-1] += child
-            else:
-                self.children.append(child)
-        else:
-            child.parent = self
-            self.children.append(child)
-
-
-def tokens(text: str):
-    """("text", s), ("start", name, attrs), ("end", name)."""
-    at, n = 0, len(text)
-    while at < n:
-        m = _TOKEN.search(text, at)
-        if not m:
-            tail = text[at:]
-            cut = re.search(r"</?[a-zA-Z][^>]*\Z", tail)  # the end of the text inside a tag
-            yield "text", entities.unescape(tail[: cut.start()] if cut else tail), None
-            return
-        if m.start() > at:
-            yield "text", entities.unescape(text[at : m.start()]), None
-        at = m.end()
-        if m[1]:
-            yield "end", m[1].lower(), None
-        elif m[3]:
-            name, attrs = m[3].lower(), {}
-            for a in _ATTR.finditer(m[4]):
-                attrs.setdefault(a[1].lower(), entities.unescape(next((g for g in a.groups()[1:] if g is not None), "")))
-            yield "start", name, attrs
-            if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(text, at)
-                body = text[at : end.start() if end else n]
-                if body:
-                    yield "text", entities.unescape(body) if name in ("title", "textarea") else body, name
-                yield "end", name, None
-                at = end.end() if end else n
-
-
-def title(text: str) -> str | None:
-    """The first title of a document, by its tokens alone; nothing after it is read."""
-    inside, out = False, ""
-    for kind, value, _ in tokens(text.removeprefix("\ufeff")):
-        if kind == "text":
-            out += value if inside else ""
-        elif value == "title":
-            if kind == "end" and inside:
-                break
-            inside = True
-    return " ".join(out.split()) or None
-
-
-def parse(text: str, limits: Limits = DEFAULT) -> Element:
-    """A document tree. Formatting elements left open are opened again in the next paragraphs."""
-    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-    document = Element("#document")
-    root, head, body = Element("html"), Element("head"), Element("body")
-    document.add(root)
-    root.add(head)
-    stack, active, state = [root, head], [], "head"
-
-    def top():
-        return stack[-1]
-
-    def scope(name, stop=SCOPE):
-        for e in reversed(stack):
-            if e.name == name:
-                return True
-            if e.name in stop:
-                return False
-        return False
-
-    def pop_to(name):
-        while stack.pop().name != name:
-            pass
-
-    def close_p():
-        if scope("p", SCOPE | {"button"}):
-            pop_to("p")
-
-    def reopen():
-        fresh = [e for e in active if e is not None and e not in stack]
-        if active and active[-1] is not None and active[-1] not in stack:
-            start = max([i + 1 for i, e in enumerate(active) if e is None or e in stack], default=0)
-            fresh = active[start:]
-            for i, e in enumerate(fresh):
-                new = Element(e.name, dict(e.attrs))
-                top().add(new)
-                stack.append(new)
-                active[start + i] = new
-
-    def to_body():
-        nonlocal state
-        if state != "body":
-            state = "body"
-            root.add(body)
-            stack[:] = [root, body]
-
-    def push(name, attrs):
-        e = Element(name, attrs)
-        top().add(e)
-        stack.append(e)
-        return e
-
-    def format_end(name):
-        """The adoption agency in short: later formatting elements are opened again."""
-        at = next((i for i in range(len(active) - 1, -1, -1) if active[i] is None or active[i].name == name), None)
-        if at is None or active[at] is None:
-            if scope(name):
-                pop_to(name)
-            return
-        e = active[at]
-        if e not in stack:
-            del active[at]
-            return
-        i = stack.index(e)
-        block = next((x for x in stack[i + 1 :] if x.name not in FORMATTING and x.name not in ("span",)), None)
-        del active[at]
-        if block is None:
-            del stack[i:]
-            return
-        j = stack.index(block)  # its content goes on inside the block, without the element
-        above = stack[i - 1]
-        inner = Element(e.name, dict(e.attrs))
-        for c in block.children:
-            inner.add(c)
-        block.children = []
-        if inner.children:
-            block.add(inner)
-        if block.parent is not None:
-            block.parent.children.remove(block)
-        above.add(block)
-        del stack[i:j]
-
-    table_parts = {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup", "col"}
-    for kind, value, attrs in tokens(text):
-        if kind == "text":
-            if attrs:  # raw text
-                top().add(value)
-            elif state == "head" and not value.strip(WS):
-                continue
-            else:
-                if state == "head" and top() is head:
-                    value = value.lstrip(WS)
-                to_body()
-                value = value.replace("\0", "")
-                if top().name in ("table", "tbody", "thead", "tfoot", "tr") and value.strip(WS):
-                    i = max(k for k, e in enumerate(stack) if e.name == "table")  # text out of place goes before the table
-                    where = stack[i - 1]
-                    where.children.insert(where.children.index(stack[i]), value)
-                elif value:
-                    if value.strip(WS):
-                        reopen()
-                    top().add(value)
-            continue
-        name = value
-        if kind == "start":
-            if name in ("html", "head", "body"):
-                target = {"html": root, "head": head, "body": body}[name]
-                for k, v in attrs.items():
-                    target.attrs.setdefault(k, v)
-                if name == "body":
-                    to_body()
-                continue
-            if name in HEAD_ONLY and state == "head":
-                if name in VOID:
-                    top().add(Element(name, attrs))
-                else:
-                    push(name, attrs)
-                continue
-            to_body()
-            if name in table_parts:
-                if not scope("table", {"html", "template"}):
-                    continue
-                if name in ("caption", "colgroup", "col", "tbody", "thead", "tfoot"):
-                    while top().name not in ("table", "html"):
-                        stack.pop()
-                elif name == "tr":
-                    while top().name not in ("tbody", "thead", "tfoot", "table", "html"):
-                        stack.pop()
-                    if top().name == "table":
-                        push("tbody", {})
-                else:
-                    while top().name not in ("tr", "tbody", "thead", "tfoot", "table", "html"):
-                        stack.pop()
-                    if top().name == "table":
-                        push("tbody", {})
-                    if top().name != "tr":
-                        push("tr", {})
-                if name == "col":
-                    top().add(Element(name, attrs))
-                else:
-                    while active and name in ("td", "th", "caption") and active[-1] is None and not any(e.name in ("td", "th", "caption") for e in stack):
-                        active.pop()
-                    push(name, attrs)
-                    if name in ("td", "th", "caption"):
-                        active.append(None)
-                continue
-            if name in CLOSES_P:
-                if name == "li":
-                    for e in reversed(stack):
-                        if e.name == "li":
-                            pop_to("li")
-                            break
-                        if e.name in SCOPE | {"ul", "ol", "menu"}:
-                            break
-                elif name in ("dd", "dt"):
-                    for e in reversed(stack):
-                        if e.name in ("dd", "dt"):
-                            pop_to(e.name)
-                            break
-                        if e.name in SCOPE | {"dl"}:
-                            break
-                close_p()
-                if name in HEADINGS and top().name in HEADINGS:
-                    stack.pop()
-            if name == "a" and (old := next((e for e in reversed(active) if e is None or e.name == "a"), None)) is not None:
-                format_end("a")
-                if old in active:
-                    active.remove(old)
-            if name == "option" and top().name == "option":
-                stack.pop()
-            if name in CLOSES_P and name not in ("p",) or name in RAW or name in ("base", "meta", "link"):
-                pass
-            else:
-                if name != "p":
-                    reopen()
-            if name in VOID:
-                top().add(Element("img" if name == "image" else name, attrs))
-                continue
-            e = push(name, attrs)
-            if name in FORMATTING:
-                same = [x for x in active if x is not None and x.name == name and x.attrs == attrs]
-                if len(same) >= 3:
-                    active.remove(same[0])
-                active.append(e)
-            continue
-        if name in ("html", "body"):
-            continue
-        if name == "head":
-            continue
-        if name == "p":
-            if not scope("p", SCOPE | {"button"}):
-                to_body()
-                push("p", {})
-            pop_to("p")
-        elif name == "br":
-            to_body()
-            reopen()
-            top().add(Element("br"))
-        elif name in FORMATTING:
-            format_end(name)
-        elif name in HEADINGS:
-            found = next((e.name for e in reversed(stack) if e.name in HEADINGS or e.name in SCOPE), None)
-            if found in HEADINGS:
-                pop_to(found)
-        elif name in ("td", "th", "caption"):
-            if scope(name, {"html", "table", "template"}):
-                pop_to(name)
-                while active:
-                    if active.pop() is None:
-                        break
-        elif name in ("table", "tbody", "thead", "tfoot", "tr"):
-            if scope(name, {"html", "template"} | ({"table"} if name != "table" else set())):
-                cells = sum(e.name in ("td", "th", "caption") for e in stack)
-                pop_to(name)
-                for _ in range(cells - sum(e.name in ("td", "th", "caption") for e in stack)):
-                    while active:
-                        if active.pop() is None:
-                            break
-        elif scope(name, SCOPE | ({"ul", "ol"} if name == "li" else set())):
-            pop_to(name)
-    if body.parent is None:
-        root.add(body)
-    work, count = [(document, 0)], 0
-    while work:
-        e, depth = work.pop()
-        within("html_dom_depth", depth, limits.html_dom_depth)
-        count = within("html_dom_nodes", count + 1, limits.html_dom_nodes)
-        if not isinstance(e, str):
-            work += [(c, depth + 1) for c in reversed(e.children)]
-    return document
-
-
 def walk(e: Element):
     for c in e.children:
         if not isinstance(c, str):
@@ -466,7 +164,7 @@ class Converter:
             code = next((x for x in walk(e) if x.name == "code" and visible(x)), None)
             names = code.attrs.get("class", "").split() if code is not None else []
             text = raw_text(e)
-            return [("code", next((n[9:] for n in names if n.startswith("language-") and n[9:]), None), text.removeprefix("\n"))]
+            return [("code", next((n[9:] for n in names if n.startswith("language-") and n[9:]), None), text)]
         if e.name == "hr":
             return [("rule",)]
         if e.name == "img":

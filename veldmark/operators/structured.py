@@ -341,7 +341,7 @@ def xml_tree(node: Node) -> list:
 
 
 def xml_blocks(content: bytes, limits: Limits = DEFAULT) -> tuple[list, dict, list]:
-    return xml_tree(parse_xml(content, limits)), {}, []
+    return [("list", False, None, [xml_tree(parse_xml(content, limits))])], {}, []
 
 
 def detect(content: bytes, extension: str | None = None, limits: Limits = DEFAULT) -> tuple[str | None, str | None]:

@@ -139,7 +139,7 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_discount") * 1000).alias("conf"), F.col("l_returnflag").alias("text"),
     )
     found = ocr.lines(words)
-    return found.select(F.col("doc_id").alias("l_orderkey"), "block", "line", "text", F.round(F.col("confidence") * 1000).cast("long").alias("confidence"), "left", "top", "right", "bottom", "n_words")
+    return found.select(F.col("doc_id").alias("l_orderkey"), "block", F.col("line").cast("int").alias("line"), "text", F.round(F.col("confidence") * 1000).cast("long").alias("confidence"), "left", "top", "right", "bottom", "n_words")
 
 
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +213,7 @@ SQL = {
     "page_links": r"""with h as (select page_id, regexp_extract(url, '^(https?://[^/]+)', 1) as host, regexp_extract_all(html, '<a href="([^"]*)"', 1) as l from pages), e as (select page_id, host, unnest(l) as href, unnest(range(len(l))) as ord from h) select page_id, cast(ord as int) as ord, host || array_to_string(list_transform(string_split(href, ''), lambda c: case when regexp_matches(c, '^[!-~]$') then c else url_encode(c) end), '') as url from e""",
     "detected_formats": "select format, 'ok' as status, count(*) as n from (select case when json_valid(props) then 'json' end as format from events union all select case when html like '<!DOCTYPE html>%' then 'html' end from pages union all select 'csv' from (select distinct n_regionkey from nation) union all select 'xml' from nation) group by format",
     "json_to_markdown": r"""select event_id, 'ok' as status, regexp_replace(props, '^\{"(\w+)": (.*)\}$', '- **\1**: `\2`') || chr(10) as markdown from events""",
-    "xml_to_markdown": "select s_suppkey, 'ok' as status, '**supplier** (**key**: `' || s_suppkey || '`)' || chr(10) || chr(10) || '- **name**: ' || replace(s_name, '#', '\\#') || chr(10) || chr(10) || '- **nation**: ' || s_nationkey || chr(10) as markdown from supplier",
+    "xml_to_markdown": "select s_suppkey, 'ok' as status, '- **supplier** (**key**: `' || s_suppkey || '`)' || chr(10) || chr(10) || '  - **name**: ' || replace(s_name, '#', '\\#') || chr(10) || chr(10) || '  - **nation**: ' || s_nationkey || chr(10) as markdown from supplier",
     "csv_to_markdown": "select n_regionkey, 'ok' as status, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, '_', '\\_') || ' |', chr(10) order by n_nationkey) || chr(10) as markdown from nation group by n_regionkey",
     "code_blocks": r"select doc_id, f || chr(10) || t || case when ends_with(t, chr(10)) then '' else chr(10) end || f as markdown from (select doc_id, t, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: len(x))), 0))::int) as f from (select doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') as t from documents))",
     "quotes": r"""select conv_id, turn, array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: case when x = '' then '>' else '> ' || x end), chr(10)) as markdown, replace(replace(coalesce(text, ''), '\', '\\'), '"', '\"') as title from conversations""",

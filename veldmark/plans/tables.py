@@ -17,8 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an urgent order."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name")
-    return relational.missing(customers, _table(spark, sf_dir, "orders"), "custkey", "o_custkey")
+    return relational.missing(customers, _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), "custkey", "o_custkey")
 
 
 def repeated_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +209,7 @@ _LINES = "select source as doc_id, doc_id as page, unnest(string_split(coalesce(
 _KEY = r"lower(trim(regexp_replace(text, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')))"
 
 SQL = {
-    "customers_without_orders": "select c_custkey as custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "customers_without_orders": "select c_custkey as custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')",
     "repeated_part_names": "select p_name, p_type, count(*) as n from part group by p_name, p_type having count(*) > 1",
     "body_sizes": _USUAL,
     "heading_levels": f"""
