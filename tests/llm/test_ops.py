@@ -319,6 +319,52 @@ def test_quality(spark):
     assert not out[100].keep and out[101].keep and out[102].keep and sum(out[i].keep for i in range(60)) >= 40
 
 
+def test_quality_against_a_direct_model(spark):
+    """Perplexities against modified Kneser-Ney written out over plain dictionaries."""
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abcab ") for _ in range(rnd.randint(0, 40))), "xy"[i % 2]) for i in range(80)]
+    ids = [i for i in range(60)]
+    out = {r.doc_id: r for r in op7_quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i,) for i in ids], "doc_id long"), order=3).collect()}
+    held = {r.id for r in spark.range(80).where("pmod(xxhash64(id), 10) = 0").collect()}
+    for lang in "xy":
+        top: dict = {}
+        for i, t, l in rows:
+            if l == lang and i in ids and i not in held:
+                p = "\x02\x02" + t
+                for k in range(len(t)):
+                    top[p[k : k + 3]] = top.get(p[k : k + 3], 0) + 1
+        orders = {3: top}
+        for k in (2, 1):
+            lower: dict = {}
+            for g in orders[k + 1]:
+                lower[g[1:]] = lower.get(g[1:], 0) + 1
+            orders[k] = lower
+
+        def cut(k):
+            n1, n2, n3, n4 = (max(sum(v == c for v in orders[k].values()), 0.5) for c in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            return [min(max(x, 0.05), m - 0.05) for x, m in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3))]
+
+        cuts = {k: cut(k) for k in orders}
+
+        def prob(g):
+            k = len(g)
+            if not k:
+                return 1 / 65536
+            same = {h: n for h, n in orders[k].items() if h[:-1] == g[:-1]}
+            if not same:
+                return prob(g[1:])
+            d = lambda n: cuts[k][min(n, 3) - 1]
+            n = same.get(g, 0)
+            return ((n - d(n)) if n else 0) / sum(same.values()) + sum(map(d, same.values())) / sum(same.values()) * prob(g[1:])
+
+        for i, t, l in rows:
+            if l == lang and t:
+                p = "\x02\x02" + t
+                want = np.exp(-sum(np.log(prob(p[k : k + 3])) for k in range(len(t))) / len(t))
+                assert abs(out[i].perplexity / want - 1) < 1e-9
+
+
 def test_quality_of_odd_tables(spark):
     trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
     schema = "doc_id long, text string, lang string, g string, logp double"

@@ -4,7 +4,7 @@ One pass over the documents counts, in each task, the distinct n-grams of all te
 texts. The counts are summed, lower orders are continuation counts, and the probabilities of all
 n-grams asked for come from joins with the counts and context totals of each order, all keyed and sharded by
 (language, n-gram); nothing is broadcast but discounts (a row for a language and order). Each task then gets back the
-probabilities of its own n-grams and scores its documents. A document's perplexity is compared with a quantile of the trusted
+probabilities of its own n-grams, keeps them as sorted 64-bit keys, and scores its documents. A document's perplexity is compared with a quantile of the trusted
 documents of its language; a tenth of these, by a hash, is kept out of the counts for that.
 
 A null language is one of its own. Null and empty texts have no n-grams, a null perplexity, and are kept, as is
@@ -30,6 +30,21 @@ BROADCAST_LABELS = 2_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+def keys(codes: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """64-bit keys of the n-grams that begin at these places."""
+    key = np.zeros(len(at), np.uint64)
+    for i in range(order):
+        key = (key ^ (codes[at + i] + np.uint64(i + 1))) * _MULT[i % len(_MULT)]
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def lookup(g: pd.Series, logp: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, log-probabilities) of n-grams."""
+    codes = np.frombuffer("".join(g).encode("utf-32-le"), "<u4").astype(np.uint64)
+    return keys(codes, np.arange(0, len(codes), order), order), logp
+
+
 def grams(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(joined text, distinct keys, a position of each, number of each n-gram's key, n-grams of each text)."""
     pad = PAD * (order - 1)
@@ -38,10 +53,7 @@ def grams(texts: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np
     codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
     starts = np.cumsum(sizes + order - 1) - sizes - (order - 1)
     at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    key = np.zeros(len(at), np.uint64)
-    for i in range(order):
-        key = (key ^ (codes[at + i] + np.uint64(i + 1))) * _MULT[i % len(_MULT)]
-        key ^= key >> np.uint64(29)
+    key = keys(codes, at, order)
     inverse, distinct = pd.factorize(key)
     first = np.zeros(len(distinct), np.int64)
     first[inverse[::-1]] = at[::-1]
@@ -127,14 +139,26 @@ def score(docs: DataFrame, order: int, folder: str) -> DataFrame:
                 system, local = fs.FileSystem.from_uri(f"{folder}/task={task}")
                 tables = {}
                 if system.get_file_info(local).type != fs.FileType.NotFound:  # a task of empty texts has no n-grams
-                    table = pq.ParquetDataset(local, filesystem=system, partitioning=None).read(columns=["lang", "g", "logp"]).to_pandas()
-                    tables = {lang: dict(zip(part["g"], part["logp"])) for lang, part in table.groupby("lang")}
+                    pieces: dict = {}
+                    for fragment in pq.ParquetDataset(local, filesystem=system, partitioning=None).fragments:
+                        for batch in fragment.to_batches(columns=["lang", "g", "logp"], batch_size=100_000):
+                            for lang, part in batch.to_pandas().groupby("lang"):
+                                pieces.setdefault(lang, []).append(lookup(part["g"], part["logp"].to_numpy(), order))
+                    for lang, found in pieces.items():
+                        coded, logp = (np.concatenate(x) for x in zip(*found))
+                        rank = np.argsort(coded)
+                        tables[lang] = coded[rank], logp[rank]
             total, n = np.full(len(pdf), np.nan), np.zeros(len(pdf), np.int64)
             place = pd.Series(np.arange(len(pdf)), index=pdf.index)
             for lang, part in _by_language(pdf):
-                known = tables.get(lang, {})  # none if all texts here are empty
-                joined, _, first, inverse, sizes = grams(part["text"].tolist(), order)
-                logp = np.array([known[joined[i : i + order]] for i in first.tolist()])
+                _, distinct, _, inverse, sizes = grams(part["text"].tolist(), order)
+                logp = np.zeros(0)
+                if len(distinct):
+                    known, values = tables[lang]
+                    place_of = np.searchsorted(known, distinct)
+                    if (known[np.minimum(place_of, len(known) - 1)] != distinct).any():
+                        raise ValueError("a task has n-grams that it did not count")
+                    logp = values[place_of]
                 sums = np.concatenate([[0], np.cumsum(logp[inverse])])[np.concatenate([[0], np.cumsum(sizes)])]
                 i = place[part.index].to_numpy()
                 total[i], n[i] = np.diff(sums), sizes
