@@ -130,8 +130,28 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return nodes.unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Bytes of a batch between the JVM and Python; a worker holds a few times as much.
+BATCH_BYTES = 8 << 20
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Arrow batches have at most `BATCH_BYTES` from now on, whatever the length of its texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"[0-9]+", str(df.sparkSession.conf.get(name, "")))
+    if not now or int(now[0]) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def batches(frames, max_rows: int = 2000, max_chars: int = 4_000_000, text: str = "text"):
-    """Cut pandas frames into slices of bounded rows and text."""
+    """Cut pandas frames into slices of bounded rows and text; what Arrow keeps for later goes back at the end."""
+    yield from _slices(frames, max_rows, max_chars, text)
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+
+
+def _slices(frames, max_rows: int, max_chars: int, text: str):
     for pdf in frames:
         size = pdf[text].str.len().fillna(0).to_numpy()
         start = total = 0

@@ -133,10 +133,12 @@ class Model:
         self.bias, self.logit = float(w[-1]), np.array([-4.0, 0.0, 0.0])
 
     def margins(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        rows, ids, weights = features(words)
-        return np.bincount(rows, weights * self.table[ids], minlength=len(words)) + self.bias
+        out = [np.zeros(0)]
+        for a in range(0, len(words), 4000):
+            block = words[a : a + 4000]
+            rows, ids, weights = features(block)
+            out.append(np.bincount(rows, weights * self.table[ids], minlength=len(block)) + self.bias)
+        return np.concatenate(out)
 
     def learn_words(self, new: list[str], cache: dict[str, float]) -> None:
         for a in range(0, len(new), 4000):
@@ -147,11 +149,11 @@ class Model:
                 cache[t] = float(m[at : at + len(ps)].max()) if ps else -2.0
                 at += len(ps)
 
-    def best_two(self, texts: list[str], cache: dict[str, float], limit: int = 400_000) -> np.ndarray:
+    def best_two(self, texts: list[str], cache: dict[str, float], limit: int = 200_000) -> np.ndarray:
         """The two largest margins of words of each text."""
         return self.best_of([tokens(t) for t in texts], cache, limit)
 
-    def best_of(self, sets: list[set[str]], cache: dict[str, float], limit: int = 400_000) -> np.ndarray:
+    def best_of(self, sets: list[set[str]], cache: dict[str, float], limit: int = 200_000) -> np.ndarray:
         if len(cache) > limit:
             cache.clear()
         self.learn_words(list(set().union(*sets) - cache.keys()), cache)
@@ -252,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Model | N
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
     """``docs`` (with a column text) and the score as a column ``name``, which replaces one of that name."""
-    docs = docs.drop(name)
+    docs = common.lean(docs.drop(name))
     held = docs.sparkSession.sparkContext.broadcast(model)  # a table of 4 MB
 
     def run(frames):

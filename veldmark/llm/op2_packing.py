@@ -123,7 +123,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
 
     Returns row, doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset.
     """
-    spark = docs.sparkSession
+    spark = common.lean(docs).sparkSession
     scratch = common.Scratch(spark, "pack")
     made = scratch.save(pieces(docs, path or common.default_path("byte_bpe_50k.json"), capacity, end_id).withColumn("part", F.spark_partition_id()), "pieces")
     counts = scratch.save(made.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")

@@ -276,7 +276,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
 
     Columns of ``docs`` with these two names are replaced. An empty table gives an empty one.
     """
-    docs = docs.drop("__candidates", "__secrets")
+    docs = common.lean(docs.drop("__candidates", "__secrets"))
     held = docs.sparkSession.sparkContext.broadcast(forest or train())
 
     def run(frames):
@@ -300,7 +300,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
                 out.append(text)
             yield pdf.assign(text=out)
 
-    return docs.mapInPandas(run, docs.schema)
+    return common.lean(docs).mapInPandas(run, docs.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

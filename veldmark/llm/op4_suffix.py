@@ -250,7 +250,7 @@ def repeated(docs: DataFrame, length: int, k: int, scratch: common.Scratch) -> D
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 50) -> DataFrame:
     """(doc_id, text as kept bytes, n_bytes, n_removed, n_spans, spans) for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+    spark = common.lean(docs).sparkSession
     scratch = common.Scratch(spark, "suffix")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     stat = base.agg(F.count("*"), F.count("doc_id")).first()

@@ -178,7 +178,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
             out.close()
             yield pd.DataFrame([(shard, name, out.n_docs, n_tokens, len(out.frames))], columns=["shard", "path", "n_docs", "n_tokens", "n_frames"]).astype({"shard": "int32", "n_frames": "int32"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = common.lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // SHARD_BYTES, 1 << 20))
     dealt = rows.repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")

@@ -169,7 +169,7 @@ def score(docs: DataFrame, order: int, folder: str) -> DataFrame:
 
 def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.995) -> DataFrame:
     """(doc_id, lang, n_grams, perplexity, threshold, keep) for ``docs`` (doc_id, text, lang); ``trusted``: doc_id of trusted documents."""
-    scratch = common.Scratch(docs.sparkSession, "quality")
+    scratch = common.Scratch(common.lean(docs).sparkSession, "quality")
     ids = trusted.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct().withColumn("t", F.lit(True))
     small = trusted.count() <= BROADCAST_LABELS
     ids = F.broadcast(ids) if small else ids

@@ -38,7 +38,7 @@ from veldmark.llm import common
 #: A band's largest size is this power of the largest ratio of partners' sizes times its smallest.
 BAND_POWER = 2.5
 #: Index entries that a task of signing holds, and that a part of the exchange gets on average.
-HELD, PART = 2_000_000, 1_000_000
+HELD, PART = 500_000, 1_000_000
 #: Cost of a comparison of two sets by size and sketch, in index entries.
 COMPARE = 2
 #: Partners of a text in one block; rows up to which the list of texts to verify is broadcast (about 40 bytes a row).
@@ -123,7 +123,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Signer:
     """Distinct shingle hashes, set hashes, parity sketches and index entries of a batch of texts."""
 
-    def __init__(self, k: int, percent: int, plan: list[tuple[int, int, int]], limit: int = 300_000):
+    def __init__(self, k: int, percent: int, plan: list[tuple[int, int, int]], limit: int = 200_000):
         self.k, self.percent, self.limit, self.cache = k, percent, limit, {}
         self.starts = np.array(band_starts(percent))
         self.one, self.two, self.spare = (np.array([p[i] for p in plan]) for i in range(3))
@@ -315,7 +315,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if size:
             yield from blocks(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
 
-    signed = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, INDEX)
+    signed = common.lean(docs).select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, INDEX)
     return signed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(meetings, FOUND)
 
 
