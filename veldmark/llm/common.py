@@ -137,8 +137,12 @@ BATCH_BYTES = 8 << 20
 def lean(df: DataFrame) -> DataFrame:
     """``df``, in whose session Arrow batches have at most `BATCH_BYTES` from now on, whatever the length of its texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.match(r"[0-9]+", str(df.sparkSession.conf.get(name, "")))
-    if not now or int(now[0]) > BATCH_BYTES:
+    try:
+        now = df.sparkSession.conf.get(name)
+    except Exception:
+        return df  # a version without this setting
+    plain = re.fullmatch(r"([0-9]+)b?", now)
+    if not plain or not 0 < int(plain[1]) <= BATCH_BYTES:
         df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df
 

@@ -180,6 +180,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     rows = common.lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 56:  # not known from files
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // SHARD_BYTES, 1 << 20))
     dealt = rows.repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return common.Scratch(docs.sparkSession, "manifest").save(dealt.mapInPandas(write, MANIFEST), "manifest")
