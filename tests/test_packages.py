@@ -247,3 +247,20 @@ def test_rows(spark):
     assert [out[i].markdown for i in "123"] == ["hi\n", "z\n", "![y.png](x.assets/image-001.png)\n"]
     assert [out[i].error_code for i in "45678"] == ["corrupt_input", "ambiguous_format", "pdfium_unavailable", "format_conflict", "corrupt_input"]
     assert out["3"].assets[0].media_type == "image/png" and bytes(out["3"].assets[0].data) == k.png() and out["2"].format == "zip (html)"
+
+
+def test_sql_function(spark):
+    from veldmark.sources import sql
+
+    rows = [("a.docx", docx(paragraph("hi"))), ("b.csv", b"a;b\n1;2"), ("c.pdf", b"x"), ("d", k.png()), (None, b"[1]x"), ("e.png", None)]
+    spark.createDataFrame([(p, bytearray(c) if c is not None else None) for p, c in rows], "path string, content binary").createOrReplaceTempView("some_docs")
+    sql.register(spark)
+    got = {r.path: (r.markdown, r.error_code) for r in spark.sql("select path, t.* from some_docs, lateral to_markdown(content, path, cast(null as string)) t").collect()}
+    assert got["a.docx"] == ("hi\n", None) and got["b.csv"][0].startswith("| a | b |") and got["c.pdf"] == (None, "format_conflict")
+    assert got["d"] == (None, "corrupt_input") and got[None] == (None, "unsupported_format") and got["e.png"] == (None, "corrupt_input")
+
+
+def test_formats_as_expressions(spark):
+    cases = [(p, c) for p in ("a.DOCX", "x/b.d/c", "a.htm", "a.txt", "a.zip", "a.png", "a.pdf", None) for c in (b"PK\3\4x", b"%PDF-1", k.png(), b"\xff\xd8", b"plain", b"")]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in cases], "path string, content binary")
+    assert [r.format for r in documents.with_format(df).collect()] == [documents.format_of(p, c) for p, c in cases]

@@ -75,6 +75,11 @@ def percent_path(c: Column | str) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9/._-]+|[^A-Za-z0-9/._-]+)"), F.lit(1)), lambda x: F.when(x.rlike("^[A-Za-z0-9/._-]"), x).otherwise(coded(x))), "")
 
 
+def html_signal(c: Column | str) -> Column:
+    """Whether a tokenizer would find a tag, a comment or a document type in a text."""
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).rlike(r"(?s)<(?:[!?]|/.|[a-zA-Z][^>]*>)")
+
+
 def extension_format(c: Column | str) -> Column:
     """Format by extension, without regard to ASCII case; null for unknown extensions."""
     ext = F.lower(F.regexp_extract(c, r"\.([^./\\]+)$", 1))

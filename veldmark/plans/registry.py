@@ -187,6 +187,12 @@ def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.size("found").cast("long").alias("n"), F.element_at("found", -1)["end"].cast("long").alias("last_end")).where("n > 0")
 
 
+def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents and pages in which a tokenizer finds markup."""
+    every = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("name"), F.col("text").alias("text")).unionAll(_table(spark, sf_dir, "pages").select(F.lit("pages").alias("name"), "html"))
+    return every.groupBy("name", paths.html_signal("text").alias("signal")).agg(F.count("*").alias("n"))
+
+
 def budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of more than 4,000 characters are over the budget."""
     over = F.col("n_chars") > 4000
@@ -195,7 +201,7 @@ def budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     pages_to_markdown, page_titles, page_links, detected_formats, json_to_markdown, xml_to_markdown, csv_to_markdown, escape_documents, escape_urls, nation_table, nation_lists, part_headings,
-    part_code_spans, code_blocks, quotes, device_names, page_formats, unsafe_links, url_policy, asset_manifest, ocr_lines, file_names, cell_names, percent_paths, percent_values, text_keys, find_matches, budget_status,
+    part_code_spans, code_blocks, quotes, device_names, page_formats, unsafe_links, url_policy, asset_manifest, ocr_lines, file_names, cell_names, percent_paths, percent_values, text_keys, find_matches, html_signals, budget_status,
     *tables.QUERIES,
 ]
 
@@ -224,6 +230,7 @@ SQL = {
     "percent_values": "select cast(cast(round(l_discount * 100) as int) as varchar) || '%' as whole, format('{:.2f}%', l_discount * 100) as decimals from (select distinct l_discount from lineitem)",
     "text_keys": r"select conv_id, turn, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) as ocr_key, lower(trim(regexp_replace(text, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) as chrome_key from conversations",
     "find_matches": "select conv_id, turn, cast((len(text) - len(replace(lower(text), 'the', ''))) / 3 as bigint) as n, cast(len(text) - strpos(reverse(lower(text)), 'eht') + 1 as bigint) as last_end from conversations where lower(text) like '%the%'",
+    "html_signals": "select name, signal, count(*) as n from (select 'documents' as name, regexp_matches(coalesce(text, ''), '<([!?]|/[^\\x{0}]|[a-zA-Z][^>]*>)') as signal from documents union all select 'pages', html like '%<!%' from pages) group by name, signal",
     "budget_status": "select doc_id, case when n_chars > 4000 then 'limit_exceeded' end as error_code, case when n_chars > 4000 then 'input_chars' end as limit_name, case when n_chars > 4000 then n_chars end as actual, case when n_chars > 4000 then 4000 end as maximum from documents",
     "asset_manifest": "select page_id, format('page-{:03d}.html', page_id) as file_name, sha256(html) as sha256, cast(strlen(html) as bigint) as n_bytes, count(*) over (partition by html) as n_same from pages",
     "page_titles": r"select page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), '') as title from pages",

@@ -63,6 +63,23 @@ def with_format(docs: DataFrame) -> DataFrame:
     return docs.withColumn("format", kind)
 
 
+#: Formats by extension and by first bytes, as `veldmark.functions.paths` has them as expressions.
+EXTENSIONS = {"pdf": "pdf", "html": "html", "htm": "html", "csv": "csv", "json": "json", "xml": "xml", "zip": "zip", "epub": "epub", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "png": "png", "jpg": "jpeg", "jpeg": "jpeg"}
+MAGIC = {b"%PDF-": "pdf", images.PNG: "png", images.JPEG: "jpeg", b"PK\3\4": "zip", b"PK\5\6": "zip", b"PK\7\x08": "zip"}
+
+
+def format_of(path: str | None, content: bytes) -> str | None:
+    """`with_format` for one document."""
+    ext = EXTENSIONS.get((path or "").replace("\\", "/").rpartition("/")[2].rpartition(".")[2].lower()) if "." in (path or "") else None
+    magic = next((kind for head, kind in MAGIC.items() if content.startswith(head)), None)
+    packed = ext in ("zip", "epub", "docx", "pptx", "xlsx")
+    if magic == "zip":
+        return ext if packed else "format_conflict" if ext else "ambiguous_format"
+    if magic:
+        return magic if ext in (None, magic) else "format_conflict"
+    return "format_conflict" if packed or ext in ("pdf", "png", "jpeg") else ext
+
+
 def is_html(content: bytes) -> bool:
     """Whether a tokenizer finds a tag, a comment or a document type."""
     return bool(re.search(r"<(?:[!?]|/.|[a-zA-Z][^>]*>)", content.decode("utf-8"), re.S))
@@ -88,20 +105,42 @@ def settle(kind: str | None, content: bytes, limits: Limits = DEFAULT) -> str:
 def read(kind: str, content: bytes, source_url: str | None = None, path: str | None = None, limits: Limits = DEFAULT, ocr_lines: list | None = None) -> Document:
     """The document of ``content`` in the format ``kind``."""
     within("input_bytes", len(content), limits.input_bytes)
-    if kind == "html":
-        walker = html.Converter(source_url, limits, path=path)
-        title, blocks = walker.document(content.decode("utf-8"))
-        return Document(blocks, kind, title, assets=walker.assets, warnings=walker.warnings)
-    if kind in ("csv", "json", "xml"):
-        blocks, properties, warnings = {"csv": structured.csv_blocks, "json": structured.json_blocks, "xml": structured.xml_blocks}[kind](content, limits)
-        return Document(blocks, kind, properties=properties, warnings=[(*w, None) for w in warnings])
-    if kind == "zip":
-        return archive.convert(content, lambda inner, entry, url: read(inner, entry.data, url, limits=limits), limits)
-    if kind == "pdf":
-        raise FormatError("pages of a PDF are read from their geometry", "pdfium_unavailable")
     if kind in ("png", "jpeg"):
         return images.convert(content, path, limits, ocr_lines)
-    return {"docx": office.docx, "pptx": office.pptx, "xlsx": office.xlsx, "epub": epub.convert}[kind](content, limits)
+    return READERS[kind](content, source_url, path, limits)
+
+
+def _html(content, source_url, path, limits):
+    walker = html.Converter(source_url, limits, path=path)
+    title, blocks = walker.document(content.decode("utf-8"))
+    return Document(blocks, "html", title, assets=walker.assets, warnings=walker.warnings)
+
+
+def _structured(kind: str, blocks_of):
+    def run(content, source_url, path, limits):
+        blocks, properties, warnings = blocks_of(content, limits)
+        return Document(blocks, kind, properties=properties, warnings=[(*w, None) for w in warnings])
+
+    return run
+
+
+def _zip(content, source_url, path, limits):
+    return archive.convert(content, lambda inner, entry, url: read(inner, entry.data, url, limits=limits), limits)
+
+
+def _pdf(content, source_url, path, limits):
+    raise FormatError("pages of a PDF are read from their geometry", "pdfium_unavailable")
+
+
+def _package(convert_package):
+    return lambda content, source_url, path, limits: convert_package(content, limits)
+
+
+#: Readers by format: (content, source_url, path, limits) to a `Document` or a `FormatError`. Others may be put in their place.
+READERS = {
+    "html": _html, "csv": _structured("csv", structured.csv_blocks), "json": _structured("json", structured.json_blocks), "xml": _structured("xml", structured.xml_blocks), "zip": _zip, "pdf": _pdf,
+    "docx": _package(office.docx), "pptx": _package(office.pptx), "xlsx": _package(office.xlsx), "epub": _package(epub.convert),
+}
 
 
 def failure(doc_id, kind: str | None, code: str, limit: tuple = (None, None, None)) -> dict:
