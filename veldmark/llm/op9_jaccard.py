@@ -44,6 +44,8 @@ COMPARE = 2
 #: Partners of a text in one block; rows up to which the list of texts to verify is broadcast (about 40 bytes a row).
 BLOCK, BROADCAST_ROWS = 256, 500_000
 LOW = (1 << 40) - 1
+#: Numbers of the sketches that joins compare: one for all sets, and one for larger sets, on which the first is always full.
+SHORT, WIDE = 8, 32
 
 
 def words(text: str) -> list[bytes]:
@@ -95,15 +97,15 @@ def allocate(starts: list[int], percent: int, counts: list[int]) -> list[tuple[i
         a = end - 1
         b = a * 100 // percent
         need = (100 - percent) * (a + b) // (100 + percent) + 1
-        size, best = math.sqrt(low * a), None
+        best = None
         for spare in steps(need // 2 + 2 if n and need > 1 else 0):
             for two in steps(min(64, (need + spare) // 2) if n else 0):
                 one = need + spare - 2 * two
-                length = size / (one + two)
+                length = low / (one + two)  # the smallest sets of a band have the most empty segments
                 empty = math.exp(-length)
                 weak = (one + two * (2 + length)) * empty
                 q = tail(weak, spare)
-                meet = q * q * min(1.0, max(weak, spare + 1) ** 2 / (one + two))
+                meet = q * q * max(weak, spare + 1) ** 2 / (one + two)
                 cost = one + two * (1 + length) + COMPARE * n * meet
                 if best is None or cost < best[0]:
                     best = (cost, one, two, spare)
@@ -184,9 +186,10 @@ class Signer:
         return [packed[a // 8 : b // 8] for a, b in zip(base, base[1:])]
 
     @staticmethod
-    def fold(sketch: bytes) -> list[int]:
-        """The sketch as one of 512 bits, in 8 numbers."""
-        return np.bitwise_xor.reduce(np.frombuffer(sketch, np.int64).reshape(-1, 8), 0).tolist()
+    def fold(sketch: bytes, numbers: int = SHORT) -> list[int] | None:
+        """The sketch as one of so many numbers of 64 bits; none if it is shorter."""
+        whole = np.frombuffer(sketch, np.int64)
+        return np.bitwise_xor.reduce(whole.reshape(-1, numbers), 0).tolist() if len(whole) >= numbers else None
 
     def sign(self, texts: list[str]) -> dict:
         owner, code = self.sets(texts)
@@ -207,15 +210,15 @@ class Signer:
         return {"size": size, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": sketch, "owner": np.concatenate([a[0], b[0]]), "entry": np.concatenate([a[1], b[1]])}
 
 
-INDEX = "part long, kind int, row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, keys binary, rows binary"
-FOUND = "row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, entry long"
+INDEX = "part long, kind int, row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, wide array<long>, keys binary, rows binary"
+FOUND = "row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, wide array<long>, entry long"
 
 
 def frame(**columns) -> pd.DataFrame:
     size = max(len(v) for v in columns.values() if not np.isscalar(v))
     out = pd.DataFrame(index=range(size))
     for name in [x.split()[0] for x in INDEX.split(", ")]:
-        out[name] = columns.get(name, pd.array([None] * size, dtype="object" if name in ("sketch", "folded", "keys", "rows") else "Int64"))
+        out[name] = columns.get(name, pd.array([None] * size, dtype="object" if name in ("sketch", "folded", "wide", "keys", "rows") else "Int64"))
     return out
 
 
@@ -257,7 +260,7 @@ def meetings(frames):
 
     def shaped(x):
         out = x.reindex(columns=[c.split()[0] for c in FOUND.split(", ")])
-        return out if "sketch" in x else out.assign(sketch=None, folded=None)
+        return out if "sketch" in x else out.assign(sketch=None, folded=None, wide=None)
 
     for pdf in frames:
         texts = pdf[pdf["kind"] == 0]
@@ -304,7 +307,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for pdf in common.batches(frames, 1000, 2_000_000):
             x, row = signer.sign(pdf["text"].fillna("").tolist()), pdf["row"].to_numpy()
             place = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            yield frame(part=place, kind=0, row=row, doc_id=pdf["doc_id"].astype("Int64").array, n=x["size"], s1=x["s1"], s2=x["s2"], sketch=x["sketch"], folded=list(map(Signer.fold, x["sketch"])))
+            yield frame(part=place, kind=0, row=row, doc_id=pdf["doc_id"].astype("Int64").array, n=x["size"], s1=x["s1"], s2=x["s2"], sketch=x["sketch"], folded=list(map(Signer.fold, x["sketch"])), wide=[Signer.fold(s, WIDE) for s in x["sketch"]])
             e = x["entry"]
             part = ((e >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             held.append(((part << np.uint64(40)) | (e & np.uint64(LOW)), row[x["owner"]]))
@@ -320,15 +323,19 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def possible(percent: int, a: str, b: str) -> F.Column:
-    """Sizes and short sketches (structs of n and folded) allow the similarity; a condition of joins."""
+    """Sizes and short sketches (structs of n, folded and wide) allow the similarity; a condition of joins."""
     n, m = F.col(a)["n"], F.col(b)["n"]
-    differ = sum((F.bit_count(F.col(a)["folded"][i].bitwiseXOR(F.col(b)["folded"][i])) for i in range(8)), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+
+    def near(name: str, numbers: int) -> F.Column:
+        differ = sum((F.bit_count(F.get(F.col(a)[name], F.lit(i)).bitwiseXOR(F.get(F.col(b)[name], F.lit(i)))) for i in range(numbers)), F.lit(0))
+        return differ * (100 + percent) <= (100 - percent) * (n + m)
+
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near("folded", SHORT) & F.coalesce(near("wide", WIDE), F.lit(True))
 
 
 def plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow; both bounds are exact."""
-    x, y = (info.select(F.col("row").alias(c), F.struct("n", "folded").alias(f"f{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    x, y = (info.select(F.col("row").alias(c), F.struct("n", "folded", "wide").alias(f"f{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     p = pairs.join(x, "a").alias("p")
     both = p.join(y.alias("q"), (F.col("p.b") == F.col("q.b")) & possible(percent, "fa", "fb")).select("a", "p.b", "na", "nb", "sa", "sb")
 
@@ -383,9 +390,9 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
     """
     scratch = common.Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(index(docs, k, percent), "index")
-    info = found.where("entry is null").select("row", "doc_id", "n", "s1", "s2", "sketch", "folded")
+    info = found.where("entry is null").select("row", "doc_id", "n", "s1", "s2", "sketch", "folded", "wide")
     same = scratch.save(info.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep")), "same")
-    of = scratch.save(info.drop("sketch", "folded").join(same, ["s1", "s2", "n"], "left").select("row", "doc_id", "n", "rep"), "of")
+    of = scratch.save(info.drop("sketch", "folded", "wide").join(same, ["s1", "s2", "n"], "left").select("row", "doc_id", "n", "rep"), "of")
     met = found.where("entry is not null").select("entry", "row").join(of.select("row", "rep"), "row")
     met = scratch.save(met.select("entry", F.col("rep").alias("node")).distinct(), "met")
     # entries of the same sets say the same: one of them stays
@@ -416,13 +423,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
             pairs = open_.join(reps, "entry").where("c <> rep.c").select(F.col("rep.node").alias("a"), F.col("node").alias("b"))
             links = links.unionAll(linked(pairs))
         else:
-            sized = open_.join(info.select(F.col("row").alias("node"), F.struct("n", "folded").alias("f")), "node")
-            sized = scratch.save(sized.withColumn("step", F.floor(F.log("f.n") / math.log(100 / percent))), "sized")
-            steps = sized.select("entry", "node", "c", "f", F.explode(F.array("step", F.col("step") + 1)).alias("step"))
-            x, y = sized.alias("x"), steps.alias("y")
-            meet = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.c") != F.col("y.c"))
-            meet &= (F.col("x.node") != F.col("y.node")) & possible(percent, "x.f", "y.f")
-            pairs = x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            sized = scratch.save(open_.join(info.select(F.col("row").alias("node"), F.struct("n", "folded", "wide").alias("f")), "node"), "sized")
+            x, y = sized.alias("x"), sized.alias("y")  # one exchange
+            meet = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & possible(percent, "x.f", "y.f")
+            pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
             links = links.unionAll(linked(pairs))
             groups = scratch.save(common.connected_components(links, scratch), "components")
     named = of.join(groups, F.col("rep") == F.col("node"), "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "row").alias("component_row"))
