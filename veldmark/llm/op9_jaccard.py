@@ -6,15 +6,18 @@ allocation: 1 is an index entry of the whole segment, 2 one of the segment and o
 allocations that add up to H + 1 + e, two similar sets meet in segments whose allocations, less what differs there, add
 up to e + 1 at least. The e spare units are for segments without content: a set is weak if its empty segments (and, at
 allocation 2, its segments of one shingle) weigh more than e. Only weak sets leave entries without content, for two sets of which one
-is not weak meet in an entry with content anyway. `allocate` takes the split and the spare units of least cost from the
+is not weak meet in an entry with content anyway. As what two similar sets share counts e + 1 and empty segments only count the weight of
+one of them, they have e + 1 less that weight entries in common at least, and a set that meets others in fewer is left out. `allocate` takes the split and the spare units of least cost from the
 numbers of sets in the bands, which one pass counts. Candidates are verified on their words.
 
 Entries cross the network packed: a task combines equal ones, sorts them and sends a block of 40 bits and a row for each
 to every part. Entries that a task finds twice itself go out as members of their group at once, so that a group of a third of
 all rows reaches its part as one row from each task. Equal sets are one node. The members of an entry are first
 compared with one of them; once they are known to be connected, further pairs need no comparison. Later rounds compare with another
-member, and the last one takes the remaining pairs of an entry whose two sets are not yet connected and whose sizes allow the
-similarity, so no link between components is lost, while a group of n near copies costs about n comparisons and not n * n.
+member, and the last one takes the sets of entries that still join several components: each brings its rarest shingles (`prefixes`),
+of which two similar sets share one, and the pairs that meet there, are not yet connected and have sizes that allow the
+similarity are compared. So no link between components is lost, while a group of n near copies, or of n texts with one
+passage, costs about n comparisons and not n * n.
 Before texts are compared, a pair must pass its sizes and a parity sketch as long as its sets, both exact bounds. A text
 goes once to each block of at most about 256 partners.
 
@@ -30,7 +33,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldmark.llm import common
@@ -153,8 +156,11 @@ class Signer:
         own = [np.unique(c) for c in np.split(code, np.cumsum(many)[:-1])]
         return np.repeat(np.arange(len(texts)), [len(c) for c in own]), np.concatenate(own)
 
-    def entries(self, owner: np.ndarray, code: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, entry) under each text's scheme (-1: none)."""
+    def entries(self, owner: np.ndarray, code: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, entry) under each text's scheme (-1: none), and how many of them each text shares with any similar one.
+
+        An entry's lowest bit is that of its scheme, so the entries of a text's two schemes can be told apart.
+        """
         use = scheme[owner] >= 0
         owner, code = owner[use], code[use]
         s = scheme.clip(min=0)
@@ -170,11 +176,14 @@ class Signer:
         salt = mix((s[slot_owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + _M3)
         two = place >= self.one[s[slot_owner]]  # segments of allocation 2 come last
         weight = (1 + two) * (holds == 0) + (two & (holds == 1))
-        weak = np.bincount(slot_owner, weight, minlength=len(scheme)) > self.spare[s]
+        lost = np.bincount(slot_owner, weight, minlength=len(scheme)).astype(np.int64)
+        weak = lost > self.spare[s]
+        need = np.where(scheme >= 0, np.maximum(1, self.spare[s] - lost), 0)  # one less, as two entries may get one number
         whole = (holds > 0) | weak[slot_owner]
         near = two[slot] & ((holds[slot] > 1) | weak[owner])
         deleted = mix((total[slot[near]] - x[near]) ^ salt[slot[near]])
-        return np.concatenate([slot_owner[whole], owner[near]]), np.concatenate([mix(total ^ salt)[whole], deleted])
+        found, of = np.concatenate([mix(total ^ salt)[whole], deleted]), np.concatenate([slot_owner[whole], owner[near]])
+        return of, (found & ~np.uint64(1)) | (s[of] & 1).astype(np.uint64), need
 
     def sketches(self, owner: np.ndarray, code: np.ndarray, size: np.ndarray) -> list[bytes]:
         """Parities of the hashes by their low bits, in two to four bits for each shingle and 512 at least."""
@@ -207,11 +216,12 @@ class Signer:
         reach = (self.starts[band] - 1) * 100 // self.percent  # of the largest set of the band below
         low = np.where(first & (band >= 1) & (size <= reach), band - 1, -1)
         a, b = self.entries(owner, code, np.where(first, band, -1)), self.entries(owner, code, low)
-        return {"size": size, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": sketch, "owner": np.concatenate([a[0], b[0]]), "entry": np.concatenate([a[1], b[1]])}
+        own = (band & 1) == 1
+        return {"size": size, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": sketch, "even": np.where(own, b[2], a[2]), "odd": np.where(own, a[2], b[2]), "owner": np.concatenate([a[0], b[0]]), "entry": np.concatenate([a[1], b[1]])}
 
 
-INDEX = "part long, kind int, row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, wide array<long>, keys binary, rows binary"
-FOUND = "row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, wide array<long>, entry long"
+INDEX = "part long, kind int, row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, wide array<long>, even long, odd long, keys binary, rows binary"
+FOUND = "row long, doc_id long, n long, s1 long, s2 long, sketch binary, folded array<long>, wide array<long>, even long, odd long, entry long"
 
 
 def frame(**columns) -> pd.DataFrame:
@@ -307,7 +317,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for pdf in common.batches(frames, 1000, 2_000_000):
             x, row = signer.sign(pdf["text"].fillna("").tolist()), pdf["row"].to_numpy()
             place = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            yield frame(part=place, kind=0, row=row, doc_id=pdf["doc_id"].astype("Int64").array, n=x["size"], s1=x["s1"], s2=x["s2"], sketch=x["sketch"], folded=list(map(Signer.fold, x["sketch"])), wide=[Signer.fold(s, WIDE) for s in x["sketch"]])
+            yield frame(part=place, kind=0, row=row, doc_id=pdf["doc_id"].astype("Int64").array, n=x["size"], s1=x["s1"], s2=x["s2"], sketch=x["sketch"], folded=list(map(Signer.fold, x["sketch"])), wide=[Signer.fold(s, WIDE) for s in x["sketch"]], even=x["even"], odd=x["odd"])
             e = x["entry"]
             part = ((e >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             held.append(((part << np.uint64(40)) | (e & np.uint64(LOW)), row[x["owner"]]))
@@ -383,6 +393,46 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return dealt.select("a", "salt", "row", "text").mapInPandas(run, "a long, b long")
 
 
+def enough(met: DataFrame, same: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """``met`` (entry, node) without nodes that meet others in fewer entries of a scheme than a similar set would share with them."""
+    shared = met.groupBy("entry").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("entry")
+    left = scratch.save(met.join(shared, "entry"), "shared")
+    counts = left.groupBy("node", F.expr("entry & 1").alias("bit")).count()
+    stay = counts.join(same.select("rep", "even", "odd"), F.col("node") == F.col("rep")).where("count >= if(bit = 0, even, odd)")
+    stay = stay.select(F.col("node").alias("who"), F.col("bit").alias("scheme"))
+    return left.join(stay, F.expr("node = who and entry & 1 = scheme")).select("entry", "node")
+
+
+def several(met: DataFrame) -> DataFrame:
+    """(entry, rep, size) of the entries of ``met`` (entry, node) with several nodes. Those of the same nodes say the same: one of them stays."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    found = met.groupBy("entry").agg(F.min("node").alias("rep"), F.max("node").alias("high"), F.count("*").alias("size"), *marks).where("rep <> high")
+    return found.groupBy("size", "x0", "x1").agg(F.min("entry").alias("entry"), F.min("rep").alias("rep")).select("entry", "rep", "size")
+
+
+def prefixes(texts: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: common.Scratch) -> DataFrame:
+    """(entry, node): of each of ``nodes`` (node, n) its rarest shingles, of which two similar sets have one in common.
+
+    Of two sets that reach the similarity each has at least ``percent`` of its shingles in common with the other. With all shingles
+    in one order, the first common one therefore stands among the others and one more in both. The order is by the number of
+    nodes that have a shingle, so passages that many documents share come last and bring nobody together.
+    """
+
+    def run(frames):
+        signer = Signer(k, percent, [])
+        for pdf in common.batches(frames, 1000, 2_000_000):
+            owner, code = signer.sets(pdf["text"].tolist())
+            yield pd.DataFrame({"node": pdf["row"].to_numpy()[owner], "entry": code.view(np.int64)})
+
+    own = texts.join(nodes.select(F.col("node").alias("row")), "row").select("row", "text")
+    codes = scratch.save(own.mapInPandas(run, "node long, entry long"), "codes")
+    often = codes.groupBy("entry").agg(F.count("*").alias("often")).where("often > 1")
+    shared = codes.join(often, "entry").join(nodes, "node")
+    by = Window.partitionBy("node")
+    placed = shared.select("node", "entry", "n", F.row_number().over(by.orderBy("often", "entry")).alias("place"), F.count("*").over(by).alias("many"))
+    return placed.where(f"place <= many - ({percent} * n + 99) div 100 + 1").select("entry", "node")
+
+
 def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """(row, doc_id, n_shingles, component_row, component_id) of ``docs`` (row, doc_id, text).
 
@@ -391,15 +441,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
     scratch = common.Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(index(docs, k, percent), "index")
     info = found.where("entry is null").select("row", "doc_id", "n", "s1", "s2", "sketch", "folded", "wide")
-    same = scratch.save(info.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep")), "same")
-    of = scratch.save(info.drop("sketch", "folded", "wide").join(same, ["s1", "s2", "n"], "left").select("row", "doc_id", "n", "rep"), "of")
+    needs = [F.max(c).alias(c) for c in ("even", "odd")]
+    same = scratch.save(found.where("entry is null and n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("rep"), *needs), "same")
+    of = scratch.save(info.drop("sketch", "folded", "wide").join(same.drop("even", "odd"), ["s1", "s2", "n"], "left").select("row", "doc_id", "n", "rep"), "of")
     met = found.where("entry is not null").select("entry", "row").join(of.select("row", "rep"), "row")
-    met = scratch.save(met.select("entry", F.col("rep").alias("node")).distinct(), "met")
-    # entries of the same sets say the same: one of them stays
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    several = met.groupBy("entry").agg(F.min("node").alias("rep"), F.max("node").alias("high"), F.count("*").alias("size"), *marks).where("rep <> high")
-    several = several.groupBy("size", "x0", "x1").agg(F.min("entry").alias("entry"), F.min("rep").alias("rep")).select("entry", "rep", "size")
-    members = scratch.save(met.join(several, "entry"), "members")
+    met = scratch.save(enough(met.select("entry", F.col("rep").alias("node")).distinct(), same, scratch), "met")
+    members = scratch.save(met.join(several(met), "entry"), "members")
     scratch.drop(met)
     texts = docs.select("row", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -423,7 +470,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
             pairs = open_.join(reps, "entry").where("c <> rep.c").select(F.col("rep.node").alias("a"), F.col("node").alias("b"))
             links = links.unionAll(linked(pairs))
         else:
-            sized = scratch.save(open_.join(info.select(F.col("row").alias("node"), F.struct("n", "folded", "wide").alias("f")), "node"), "sized")
+            of_node = info.select(F.col("row").alias("node"), F.struct("n", "folded", "wide").alias("f"))
+            nodes = scratch.save(open_.groupBy("node").agg(F.first("c").alias("c")).join(of_node, "node"), "nodes")
+            starting = scratch.save(prefixes(texts, nodes.select("node", "f.n"), k, percent, scratch).join(nodes, "node"), "prefixes")
+            mixed = starting.groupBy("entry").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("entry")
+            starting = starting.join(mixed, "entry")
+            sized = scratch.save(starting.join(several(starting).select("entry"), "entry"), "sized")
             x, y = sized.alias("x"), sized.alias("y")  # one exchange
             meet = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & possible(percent, "x.f", "y.f")
             pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
