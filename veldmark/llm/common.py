@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -147,6 +148,16 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where the C library can do that."""
+    import ctypes
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def batches(frames, max_rows: int = 2000, max_chars: int = 4_000_000, text: str = "text"):
     """Cut pandas frames into slices of bounded rows and text; what Arrow keeps for later goes back at the end."""
     yield from _slices(frames, max_rows, max_chars, text)

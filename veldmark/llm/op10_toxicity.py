@@ -167,9 +167,34 @@ class Model:
         return 1 / (1 + np.exp(-(best @ self.logit[1:] + self.logit[0])))
 
 
-def fit(texts: list[str] | list[set[str]], labels: np.ndarray, n_landmarks: int = 192, seed: int = 7) -> Model | None:
-    """Fit on labelled texts, or on their `tokens` (1 is toxic)."""
-    texts = [tokens(t) if isinstance(t, str) else t for t in texts]
+class Bags:
+    """The `tokens` of texts, as numbers of a vocabulary: four bytes a token, and each distinct one once."""
+
+    def __init__(self, texts=()):
+        self.numbers, self.vocabulary, self.rows = {}, [], []
+        for t in texts:
+            self.add(t)
+
+    def add(self, text: str) -> None:
+        found = tokens(text)
+        for t in found:
+            if t not in self.numbers:
+                self.numbers[t] = len(self.vocabulary)
+                self.vocabulary.append(t)
+        self.rows.append(np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found)))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> list[str]:
+        if i >= len(self.rows):
+            raise IndexError(i)
+        return [self.vocabulary[j] for j in self.rows[i]]
+
+
+def fit(texts: list[str] | Bags, labels: np.ndarray, n_landmarks: int = 192, seed: int = 7) -> Model | None:
+    """Fit on labelled texts, or on their `Bags` (1 is toxic)."""
+    texts = texts if isinstance(texts, Bags) else Bags(texts)
     rng, order = np.random.default_rng(seed), np.argsort(-labels, kind="stable")
     bad, good, seen = Counter(), Counter(), set()
     for i in order:
@@ -217,7 +242,8 @@ def fit(texts: list[str] | list[set[str]], labels: np.ndarray, n_landmarks: int
         hard = model.margins(clean)
         worst = [clean[i] for i in np.argsort(-hard, kind="stable")[:3000]]
         negatives = list(dict.fromkeys(negatives + worst))
-    best = model.best_of(texts, {})
+    cache: dict[str, float] = {}
+    best = np.concatenate([model.best_of([texts[i] for i in range(a, min(a + 200, len(texts)))], cache, 50_000) for a in range(0, len(texts), 200)])
     x = np.hstack([np.ones((len(best), 1)), best])
     w = np.array([0.0, 1.0, 0.0])
     share = np.ones(len(labels))
@@ -242,14 +268,17 @@ def hash_of(word: str, seed: int) -> int:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Model | None:
     """Fit on at most ``max_docs`` labelled documents of each class, the first by a hash of doc_id."""
     named = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    base, words, classes, same = docs.select("doc_id", "text"), [], [], {}
+    base, words, classes = docs.select("doc_id", "text"), Bags(), []
     for value in (0, 1):
         ids = named.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         rows = base.join(F.broadcast(ids.select("doc_id")), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
         for r in rows.toLocalIterator():  # a partition of texts at a time; their distinct words are kept
-            words.append({same.setdefault(t, t) for t in tokens(r["text"])})
+            words.add(r["text"])
             classes.append(value)
-    return fit(words, np.array(classes, float)) if words else None
+    model = fit(words, np.array(classes, float)) if classes else None
+    del words
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
