@@ -152,18 +152,19 @@ def give_back() -> None:
     """Memory that this process has freed goes back to the system, where the C library can do that."""
     import ctypes
 
+    import pyarrow
+
     gc.collect()
+    pyarrow.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
 def batches(frames, max_rows: int = 2000, max_chars: int = 4_000_000, text: str = "text"):
-    """Cut pandas frames into slices of bounded rows and text; what Arrow keeps for later goes back at the end."""
+    """Cut pandas frames into slices of bounded rows and text; what is freed, but kept for later, goes back at the end."""
     yield from _slices(frames, max_rows, max_chars, text)
-    import pyarrow
-
-    pyarrow.default_memory_pool().release_unused()
+    give_back()
 
 
 def _slices(frames, max_rows: int, max_chars: int, text: str):

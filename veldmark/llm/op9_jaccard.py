@@ -292,6 +292,8 @@ def meetings(frames):
     found = close()
     if found is not None:
         yield shaped(found)
+    keys, rows = [], []
+    common.give_back()
 
 
 def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -327,6 +329,8 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 held, size = [], 0
         if size:
             yield from blocks(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), parts)
+        del signer, held
+        common.give_back()
 
     signed = common.lean(docs).select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, INDEX)
     return signed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(meetings, FOUND)
@@ -424,7 +428,9 @@ def prefixes(texts: DataFrame, nodes: DataFrame, k: int, percent: int, scratch:
             owner, code = signer.sets(pdf["text"].tolist())
             yield pd.DataFrame({"node": pdf["row"].to_numpy()[owner], "entry": code.view(np.int64)})
 
-    own = texts.join(nodes.select(F.col("node").alias("row")), "row").select("row", "text")
+    if nodes.count() <= BROADCAST_ROWS:
+        nodes = F.broadcast(nodes)  # else all texts would be exchanged
+    own = texts.join(nodes.withColumnRenamed("node", "row"), "row").select("row", "text")
     codes = scratch.save(own.mapInPandas(run, "node long, entry long"), "codes")
     often = codes.groupBy("entry").agg(F.count("*").alias("often")).where("often > 1")
     shared = codes.join(often, "entry").join(nodes, "node")
@@ -471,7 +477,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
             links = links.unionAll(linked(pairs))
         else:
             of_node = info.select(F.col("row").alias("node"), F.struct("n", "folded", "wide").alias("f"))
-            nodes = scratch.save(open_.groupBy("node").agg(F.first("c").alias("c")).join(of_node, "node"), "nodes")
+            nodes = scratch.save(open_.groupBy("node").agg(F.min("c").alias("c")).join(of_node, "node"), "nodes")
             starting = scratch.save(prefixes(texts, nodes.select("node", "f.n"), k, percent, scratch).join(nodes, "node"), "prefixes")
             mixed = starting.groupBy("entry").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("entry")
             starting = starting.join(mixed, "entry")
