@@ -365,6 +365,7 @@ def plausible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
                     x = (x >> 8 * size) ^ (x & ((1 << 8 * size) - 1))
                 keep[i] = (x ^ int.from_bytes(s, "little")).bit_count() * (100 + percent) <= (100 - percent) * (n + m)
             yield pdf.loc[keep, ["a", "b"]]
+        common.give_back()
 
     return both.mapInPandas(run, "a long, b long")
 
@@ -427,6 +428,8 @@ def prefixes(texts: DataFrame, nodes: DataFrame, k: int, percent: int, scratch:
         for pdf in common.batches(frames, 1000, 2_000_000):
             owner, code = signer.sets(pdf["text"].tolist())
             yield pd.DataFrame({"node": pdf["row"].to_numpy()[owner], "entry": code.view(np.int64)})
+        del signer
+        common.give_back()
 
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)  # else all texts would be exchanged
