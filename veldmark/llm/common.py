@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import re
 import tempfile
@@ -148,6 +149,25 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: int):
+    """Inside, what is computed has Arrow batches of at most ``size`` bytes; afterwards the session has its own setting again."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = spark.conf.get(name)
+    except Exception:
+        now = None  # a version without this setting
+    plain = re.fullmatch(r"([0-9]+)b?", now or "")
+    change = now is not None and not (plain and 0 < int(plain[1]) <= size)
+    if change:
+        spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if change:
+            spark.conf.set(name, now)
+
+
 def give_back() -> None:
     """Memory that this process has freed goes back to the system, where the C library can do that."""
     import ctypes

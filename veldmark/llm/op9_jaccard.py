@@ -41,7 +41,9 @@ from veldmark.llm import common
 #: A band's largest size is this power of the largest ratio of partners' sizes times its smallest.
 BAND_POWER = 2.5
 #: Index entries that a task of signing holds, and that a part of the exchange gets on average.
-HELD, PART = 500_000, 1_000_000
+HELD, PART = 300_000, 1_000_000
+#: Texts and characters that are signed at a time, bytes of an Arrow batch, rows of a frame of entries: a worker holds many times as much.
+TEXTS, CHARS, BATCH_BYTES, FRAME = 300, 600_000, 2 << 20, 50_000
 #: Cost of a comparison of two sets by size and sketch, in index entries.
 COMPARE = 2
 #: Partners of a text in one block; rows up to which the list of texts to verify is broadcast (about 40 bytes a row).
@@ -261,12 +263,16 @@ def meetings(frames):
     def close():
         if len(keys) > 1:
             k, r = np.concatenate(keys), np.concatenate(rows)
+            keys.clear()
+            rows.clear()
             order = np.argsort(k, kind="stable")
-            k, r = k[order], r[order]
+            k = k[order]
             same = k[1:] == k[:-1]
-            shared = np.r_[same, False] | np.r_[False, same]
-            return pd.DataFrame({"entry": (k[shared] | np.uint64(part << 40)).view(np.int64), "row": r[shared]})
-        return None
+            shared = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+            entry, row = (k[shared] | np.uint64(part << 40)).view(np.int64), r[order[shared]]
+            del k, r, order, same, shared
+            for i in range(0, len(entry), FRAME):
+                yield shaped(pd.DataFrame({"entry": entry[i : i + FRAME], "row": row[i : i + FRAME]}))
 
     def shaped(x):
         out = x.reindex(columns=[c.split()[0] for c in FOUND.split(", ")])
@@ -281,17 +287,13 @@ def meetings(frames):
                 yield shaped(pd.DataFrame({"entry": np.frombuffer(x.keys, np.int64), "row": np.frombuffer(x.rows, np.int64)}))
                 continue
             if x.part != part:
-                found = close()
-                if found is not None:
-                    yield shaped(found)
+                yield from close()
                 keys, rows, part = [], [], int(x.part)
             b = np.zeros((len(x.keys) // 5, 8), np.uint8)
             b[:, :5] = np.frombuffer(x.keys, np.uint8).reshape(-1, 5)
             keys.append(b.view(np.uint64).ravel())
             rows.append(np.frombuffer(x.rows, np.int64 if x.n == 8 else np.uint32).astype(np.int64) + int(x.row))
-    found = close()
-    if found is not None:
-        yield shaped(found)
+    yield from close()
     keys, rows = [], []
     common.give_back()
 
@@ -316,7 +318,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(frames):
         signer, held, size = Signer(k, percent, plan), [], 0
-        for pdf in common.batches(frames, 1000, 2_000_000):
+        for pdf in common.batches(frames, TEXTS, CHARS):
             x, row = signer.sign(pdf["text"].fillna("").tolist()), pdf["row"].to_numpy()
             place = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             yield frame(part=place, kind=0, row=row, doc_id=pdf["doc_id"].astype("Int64").array, n=x["size"], s1=x["s1"], s2=x["s2"], sketch=x["sketch"], folded=list(map(Signer.fold, x["sketch"])), wide=[Signer.fold(s, WIDE) for s in x["sketch"]], even=x["even"], odd=x["odd"])
@@ -425,7 +427,7 @@ def prefixes(texts: DataFrame, nodes: DataFrame, k: int, percent: int, scratch:
 
     def run(frames):
         signer = Signer(k, percent, [])
-        for pdf in common.batches(frames, 1000, 2_000_000):
+        for pdf in common.batches(frames, TEXTS, CHARS):
             owner, code = signer.sets(pdf["text"].tolist())
             yield pd.DataFrame({"node": pdf["row"].to_numpy()[owner], "entry": code.view(np.int64)})
         del signer
@@ -447,6 +449,11 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3)
 
     ``docs`` is read more than once; ``row`` must name the same row each time, as `common.numbered` sees to.
     """
+    with common.batch_bytes(docs.sparkSession, BATCH_BYTES):  # every step in Python ends in here
+        return _components(docs, k, percent, rounds)
+
+
+def _components(docs: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
     scratch = common.Scratch(docs.sparkSession, "jaccard")
     found = scratch.save(index(docs, k, percent), "index")
     info = found.where("entry is null").select("row", "doc_id", "n", "s1", "s2", "sketch", "folded", "wide")
