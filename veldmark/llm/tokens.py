@@ -3,11 +3,13 @@
 Most of the library's time goes into words that it has already seen. A text is therefore cut at
 single spaces between two characters that are not white space. There both vocabularies here always
 end one pre-token and start the next, so encoding the parts gives the ids of the whole
-(tests/llm/test_ops.py compares the two on random texts).
+(tests/llm/test_ops.py compares the two on random texts). Words of plain letters are one pre-token, so they go to the library's
+model at once, in the characters that stand for their bytes, if a comparison at the start shows that this gives the same ids.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -19,6 +21,18 @@ _SPACE = re.compile(r"\s")
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
 #: A word with marks after it and perhaps the next line's first word; both vocabularies cut it into these groups.
 _SHAPE = re.compile(f"({_LETTERS})([.,]+)?(?:(\n)({_LETTERS}))?")
+_PLAIN = re.compile(_LETTERS)
+
+
+def _stand_ins() -> dict[int, str]:
+    """For letters beyond ASCII the two characters that stand for their bytes in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_STAND_INS = _stand_ins()
 
 
 class WordCache:
@@ -34,9 +48,44 @@ class WordCache:
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if leading_space else self.first
+        self.model, self.lower = self.tokenizer.model, False
+        self.direct = any(self._same_direct(lower) for lower in (False, True))
+
+    def _same_direct(self, lower: bool) -> bool:
+        """Whether the model alone gives the ids of plain words, in lower case or as they are."""
+        self.lower = lower
+        letters = [chr(c) for c in range(0x41, 0x100) if _PLAIN.fullmatch(chr(c))]
+        probes = letters + [a + b for a in letters for b in letters[::7]] + ["".join(letters), "Été", "naïve", "tokenizers", "Straße", "INTERNATIONAL"]
+        if any(_PLAIN.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
+        for prefix in ("", " ") if self.leading else ("",):
+            found: dict[str, bytes] = {}
+            self._encode_direct(probes, found, prefix)
+            whole = self.tokenizer.encode_batch([prefix + w for w in probes], add_special_tokens=False)
+            if any(found[w] != np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(probes, whole)):
+                return False
+        return True
+
+    def _encode_direct(self, new: list[str], known: dict[str, bytes], prefix: str) -> None:
+        """Encode words of plain letters by the model."""
+        tokenize, lead = self.model.tokenize, "\u0120" if prefix else ""
+        for i in range(0, len(new), 20_000):
+            block = new[i : i + 20_000]
+            ids, ends = [], []
+            for w in block:
+                w = w.lower() if self.lower else w
+                ids += [t.id for t in tokenize(lead + (w if w.isascii() else w.translate(_STAND_INS)))]
+                ends.append(4 * len(ids))
+            data = np.array(ids, dtype="<u4").tobytes()
+            for w, x, y in zip(block, [0, *ends], ends):
+                known[w] = data[x:y]
 
     def _encode_new(self, new: list[str], known: dict[str, bytes], prefix: str) -> None:
         """Encode words in bulk: joined by a separator of one id that no word yields."""
+        if self.direct:
+            letters = [w for w in new if _PLAIN.fullmatch(w)]
+            self._encode_direct(letters, known, prefix)
+            new = list(set(new).difference(letters))
         mark = self.mark.strip(" ")
         plain = [w for w in new if w.isalpha() or w and mark not in w and not _SPACE.search(w)]
         groups = [plain[i : i + 50] for i in range(0, len(plain), 50)]
@@ -75,13 +124,23 @@ class WordCache:
             later[w] = later[head] + b"".join([first[p] for p in rest])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Meanwhile no search for reference cycles walks over the many words; there are none."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         """The distinct words of all texts are looked up once; numpy puts the ids of the texts together."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         if not texts:
             return []
-        if len(self.first) + len(self.later) > self.limit:
+        if len(self.first) + len(self.later) * self.leading > self.limit:
             self.first.clear()
             self.later.clear()
         first, later, lead = self.first, self.later, self.leading
