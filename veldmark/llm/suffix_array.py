@@ -1,10 +1,10 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 Level 0 works on bytes: suffixes are classified, leftmost-smaller (LMS) substrings sorted by inducing, named, and
-sorted recursively on the string of their names; then all suffixes are induced from them. Inducing
+sorted as the string of their names; then all suffixes are induced from them. Inducing
 visits the buckets in order and moves all entries of a bucket that are known so far at once, so
-its work is linear and vectorised where buckets are few (bytes); on the strings of names, where
-buckets are many and small, plain loops do the same.
+its work is linear and vectorised where buckets are few (bytes). Strings of names, where buckets are many
+and small, are sorted by prefix doubling.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def classify(t: np.ndarray) -> np.ndarray:
 
 def _groups(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(stable order, group values, group counts, rank inside the group in that order)."""
-    order = np.argsort(chars, kind="stable")
+    order = np.argsort(chars.astype(np.uint16), kind="stable")  # a radix sort; there are 1024 characters at most
     c = chars[order]
     starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     counts = np.diff(np.r_[starts, len(c)])
@@ -80,29 +80,21 @@ def _induce_blocks(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndar
     return sa
 
 
-def _induce_loops(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    n, tl, sl = len(t), t.tolist(), s.tolist()
-    ends = np.cumsum(sizes)
-    sa, tail = [-1] * n, ends.tolist()
-    for i in lms[::-1].tolist():
-        tail[tl[i]] -= 1
-        sa[tail[tl[i]]] = i
-    head = (ends - sizes).tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not sl[j]:
-            c = tl[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and sl[j]:
-            c = tl[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
+def _double(t: np.ndarray) -> np.ndarray:
+    """By prefix doubling: ranks by 1, 2, 4, ... symbols, of the suffixes that are not alone in their rank yet."""
+    sa = np.argsort(t, kind="stable")
+    n, rank, place, key, step = len(t), np.empty(len(t), np.int64), np.arange(len(t)), t[sa].astype(np.int64), 1
+    while True:
+        head = np.r_[True, key[1:] != key[:-1]]
+        rank[sa[place]] = place[np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))]
+        place = place[~(head & np.r_[head[1:], True])]
+        if not len(place):
+            return sa
+        i = sa[place]
+        key = rank[i] * n + rank[i + step]  # the last symbol is the only one of its kind, so equal prefixes end before it
+        order = np.argsort(key)
+        sa[place], key = i[order], key[order]
+        step *= 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -116,13 +108,14 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n <= 2:
         return np.arange(n - 1, -1, -1, dtype=np.int64)
+    sizes = np.bincount(t)
+    if len(sizes) > 1024:
+        return _double(t)
     s = classify(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = s[1:] & ~s[:-1]
     lms = np.flatnonzero(is_lms)
-    sizes = np.bincount(t)
-    induce = _induce_blocks if len(sizes) <= 1024 else _induce_loops
-    sa = induce(t, s, lms, sizes)
+    sa = _induce_blocks(t, s, lms, sizes)
     ordered = sa[is_lms[sa]]
     following = np.full(n, n - 1)
     following[lms[:-1]] = lms[1:]
@@ -146,7 +139,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     else:
         order = np.empty(len(lms), np.int64)
         order[reduced] = np.arange(len(lms))
-    return induce(t, s, lms[order], sizes)
+    return _induce_blocks(t, s, lms[order], sizes)
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
