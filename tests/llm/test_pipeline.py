@@ -34,3 +34,20 @@ def test_run(spark, tmp_path):
     want = {i: [*cache.tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in {**texts, 5: clean}.items() if i in (1, 5, 6, 7)}
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length").collect()
     assert sorted(tuple(r) for r in got) == sorted((i, 0, len(t)) for i, t in want.items())
+
+
+def test_stages_run_with_bounded_batches(spark, tmp_path):
+    rows = [(i, words(i), "en", "s", 1) for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(99, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, own = spark.read.parquet(f"{tmp_path}/documents.parquet"), {k: spark.conf.get(k, None) for k in corpus_pipeline.BOUNDS}
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for k, v in own.items():
+                spark.conf.set(k, v) if v else spark.conf.unset(k)
+            assert stage(spark, docs, str(tmp_path)).count() == 4, name
+            assert {k: spark.conf.get(k) for k in own} == corpus_pipeline.BOUNDS, name
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
